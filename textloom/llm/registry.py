@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import quality_ledger, source_mix
-from textloom.tables import table
+from textloom.llm import media, ngram_join, quality_ledger, source_mix, token_cache, warc
+from textloom.tables import scratch_path, table
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op2_avi_mjpeg(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +25,28 @@ def op4_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.op4_weighted_fair_mix(table(spark, sf_dir, "documents"))
 
 
+def op5_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.op5_digest_token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op7_warc_salvage(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op9_ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_avi_mjpeg": op2_avi_mjpeg,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_weighted_fair_mix": op4_weighted_fair_mix,
+    "op5_digest_token_counts": op5_digest_token_counts,
+    "op7_warc_salvage": op7_warc_salvage,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_ledger": quality_ledger.ORACLE,
     "op4_weighted_fair_mix": source_mix.ORACLE,
+    "op7_warc_salvage": warc.ORACLE,
 }

@@ -405,6 +405,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_table(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, media: each text as an AVI file."""
+    tokens.bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_encode_rows, "doc_id bigint, media binary")
 
 
@@ -423,5 +424,6 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op2_avi_mjpeg(docs: DataFrame) -> DataFrame:
     """Stores every text as an AVI, reads the file's bytes back and returns digests, features and numbers of clips."""
+    tokens.bound_batches(docs.sparkSession)
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames int, n_clips int"
     return docs.select("doc_id", "text").mapInArrow(_digest_rows, schema)

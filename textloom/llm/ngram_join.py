@@ -48,9 +48,9 @@ def _sets(texts: list[bytes], width: int):
     hashes, counts, _ = tokens.words(texts)
     keys, sizes = tokens.shingles(hashes, counts, width)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    ids = np.zeros(len(texts), np.uint64)
-    np.add.at(ids, doc, tokens.mix(keys ^ np.uint64(0x5851F42D4C957F2D)))
-    ids = tokens.mix(ids + sizes.astype(np.uint64))
+    total, ends = np.zeros(len(keys) + 1, np.uint64), np.cumsum(sizes)
+    np.cumsum(tokens.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    ids = tokens.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
     bins = np.bincount(doc * BINS + (keys >> np.uint64(60)).astype(np.int64), minlength=len(texts) * BINS).reshape(-1, BINS)
     return keys, sizes, ids.view(np.int64), bins
 
@@ -124,9 +124,13 @@ def _prefixes(width: int, percent: int, sketch):
                     fresh[i] = True
             doc = np.repeat(np.arange(len(texts)), sizes)
             keys, doc = keys[fresh[doc]], doc[fresh[doc]]
-            order = np.lexsort((keys, sketch.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-            keys, kept = keys[order], np.where(fresh, sizes, 0)
-            place = np.arange(len(keys)) - np.repeat(np.cumsum(kept) - kept, kept)
+            kept = np.where(fresh, sizes, 0)
+            starts = np.repeat(np.cumsum(kept) - kept, kept)
+            place = np.arange(len(keys)) - starts
+            # Frequency, then place by value: one number that sorts rare first.
+            rank = sketch.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | place.astype(np.uint64)
+            tokens.sort_within(rank, kept)
+            keys = keys[(rank & np.uint64((1 << 40) - 1)).astype(np.int64) + starts]
             use = place < prefix_length(sizes, percent)[doc]
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[doc[use]]), pa.array(sizes[doc[use]].astype(np.int32)), pa.array(place[use].astype(np.int32))], names)
 
@@ -222,6 +226,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id; component_id is the least doc_id reachable by links."""
     spark = docs.sparkSession
+    tokens.bound_batches(spark)
     scanned = docs.select("doc_id", "text").mapInArrow(_classes(width), "part int, blob binary, doc_id bigint, n_shingles bigint, class_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     scanned = materialize(spark, scanned, "classes")
     sketch = spark.sparkContext.broadcast(_sketch(scanned.filter("part IS NOT NULL").select("part", "blob")))
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     classes = members.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")])
     classes = materialize(spark, classes, "class-table")
 
-    entries = docs.select("doc_id", "text").mapInArrow(_prefixes(width, percent, sketch), "h bigint, class_id bigint, n int, pos int")
+    entries = materialize(spark, docs.select("doc_id", "text").mapInArrow(_prefixes(width, percent, sketch), "h bigint, class_id bigint, n int, pos int"), "prefixes")
     buckets = entries.groupBy("h").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).filter("least <> most").select("h", "least")
     shared = materialize(spark, entries.join(buckets, "h").select("h", "class_id", "n", "pos", "least"), "buckets")
 

@@ -109,6 +109,7 @@ def read_cache(spark: SparkSession, path: str, digest: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024) -> DataFrame:
     """doc_id, text -> doc_id, n_bytes, n_tokens, over_limit, content_digest. Appends what is missing to the cache at path `cache`."""
     spark = docs.sparkSession
+    tokens.bound_batches(spark)
     version = file_digest(tokenizer)
     content = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", content.alias("text"), F.unhex(F.sha2(content, 256)).alias("content_digest"), F.octet_length(content).cast("long").alias("n_bytes"))

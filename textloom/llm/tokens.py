@@ -10,6 +10,8 @@ import pyarrow as pa
 #: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ has it.
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -35,13 +37,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word of the texts, A-Z in lower case, in order; number of words of each text; the words' byte spans in b"\\n".join(texts)."""
-    data = b"\n".join(texts).lower()
+def fold_latin(data: bytes) -> bytes:
+    """Lower case for A-Z and for the capitals of Latin-1, in UTF-8."""
+    raw = np.frombuffer(data.lower(), np.uint8).copy()
+    second = raw[1:]
+    second[(raw[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return raw.tobytes()
+
+
+def words(texts: list[bytes], spaces: np.ndarray = SPACES, fold=bytes.lower) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every folded word of the texts, in order; number of words of each text; the words' byte spans in b"\\n".join(texts)."""
+    data = fold(b"\n".join(texts))
     if not data:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros((0, 2), np.int64)
     raw = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], ~SPACES[raw], [False]])
+    inside = np.concatenate([[False], ~spaces[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     power, inverse = powers(len(raw))
@@ -53,6 +63,13 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.diff(firsts), np.stack([starts, ends], 1)
 
 
+def sort_within(values: np.ndarray, counts: np.ndarray) -> None:
+    """Sort each document's run of values in place: many short sorts, each within cache."""
+    ends = np.cumsum(counts)
+    for start, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        values[start:end].sort()
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each document, sorted by document and value; number of each. Fewer words than width: the whole sequence as one."""
     n = len(hashes)
@@ -65,13 +82,17 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     whole = (place + width <= np.repeat(counts, counts)) | (place == 0)
     keys, doc = keys[whole], doc[whole]
-    order = np.lexsort((keys, doc))
-    keys, doc = keys[order], doc[order]
+    sort_within(keys, np.bincount(doc, minlength=len(counts)))
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
     return keys[first], np.bincount(doc[first], minlength=len(counts))
 
 
+def bound_batches(spark, size: int = 16 << 20) -> None:
+    """Hand texts to Python in batches of about `size` bytes, however long single texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Record batches cut to about `size` bytes of text (or one longer text), with the texts as bytes; null is empty."""
     for batch in batches:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import tokens
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -185,6 +187,7 @@ def _read(keep_payload: bool):
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """One row for each recovered record (kind "record") and each quarantined gap (kind "gap") of the archives under path."""
+    tokens.bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") > 0).select("path", "content").mapInArrow(_read(keep_payload), READ_SCHEMA)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, ngram_join, quality_ledger, source_mix, token_cache, warc
+from textloom.llm import media, ngram_join, quality_ledger, quality_rank, source_mix, token_cache, toxic_neighbours, warc
 from textloom.tables import scratch_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,17 +33,27 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op7_warc_salvage(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.op8_bradley_terry_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op9_ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_neighbours.op10_toxic_neighbours(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_avi_mjpeg": op2_avi_mjpeg,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_weighted_fair_mix": op4_weighted_fair_mix,
     "op5_digest_token_counts": op5_digest_token_counts,
     "op7_warc_salvage": op7_warc_salvage,
+    "op8_bradley_terry_quality": op8_bradley_terry_quality,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_toxic_neighbours": op10_toxic_neighbours,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_ledger": quality_ledger.ORACLE,

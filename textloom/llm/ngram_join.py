@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import tokens
+from textloom.llm import bloom, tokens
 from textloom.llm.components import components
 from textloom.tables import materialize
 
@@ -36,8 +36,6 @@ WIDTH = 3
 PERCENT = 90
 #: Cells of the frequency sketch (16 bits each when sent to executors), and cells of one of its slices.
 SKETCH_BITS, SLICE_BITS = 22, 16
-#: Bits of the filter that picks the classes whose sets are fetched.
-BLOOM_BITS = 25
 #: Tasks whose slices are added up together before the last sum.
 FAN_IN = 256
 BINS = 16
@@ -137,33 +135,17 @@ def _prefixes(width: int, percent: int, sketch):
     return run
 
 
-def _places(doc_id: Column, class_id: Column) -> Column:
-    """Two places in the filter; class ids are uniform, so their bits are the hash."""
-    key = class_id.bitwiseXOR(F.coalesce(doc_id, F.lit(0)))
-    return F.array(*[F.shiftrightunsigned(key, BLOOM_BITS * k).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)) for k in range(2)])
+def _place(doc_id: Column, class_id: Column) -> Column:
+    """Key of a class's representative row; class ids are uniform, so it is a hash."""
+    return class_id.bitwiseXOR(F.coalesce(doc_id, F.lit(0)))
 
 
-def _bloom(wanted: DataFrame) -> np.ndarray:
-    """Filter of (doc_id, class_id) rows: 2**BLOOM_BITS bits whatever the input."""
-    places = wanted.select(F.explode(_places(F.col("doc_id"), F.col("class_id"))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros((1 << BLOOM_BITS) // 64, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return out
-
-
-def _fetch(width: int, bloom):
-    mask = np.uint64((1 << BLOOM_BITS) - 1)
-
+def _fetch(width: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = bloom.value, set()
+        seen = set()
         for batch, texts in tokens.text_batches(batches):
             keys, sizes, ids, _ = _sets(texts, width)
-            own = batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64) ^ ids.view(np.uint64)
-            hit = sizes > 0
-            for k in range(2):
-                p = own >> np.uint64(BLOOM_BITS * k) & mask
-                hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = (sizes > 0) & bloom.contains(shipped.value, batch.column("doc_id").fill_null(0).to_numpy() ^ ids)
             ends, rows = np.cumsum(sizes), []
             for i in np.flatnonzero(hit).tolist():
                 if (key := (int(ids[i]), batch.column("doc_id")[i].as_py())) not in seen:
@@ -214,8 +196,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     """The pairs (a, a_doc, b, b_doc) whose whole sets reach the threshold."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("class_id"), F.col("a_doc").alias("doc_id")).union(pairs.select("b", "b_doc"))
-    bloom = spark.sparkContext.broadcast(_bloom(wanted))
-    sets = docs.select("doc_id", "text").mapInArrow(_fetch(width, bloom), "class_id bigint, doc_id bigint, shingles binary")
+    shipped = spark.sparkContext.broadcast(bloom.build(wanted.select(_place(F.col("doc_id"), F.col("class_id")).alias("key")), "key"))
+    sets = docs.select("doc_id", "text").mapInArrow(_fetch(width, shipped), "class_id bigint, doc_id bigint, shingles binary")
     side = lambda k, name: sets.select(F.col("class_id").alias(k), F.col("doc_id").alias(f"{k}_doc"), F.col("shingles").alias(name))
     same = lambda k: (F.col(f"p.{k}") == F.col(f"s.{k}")) & F.col(f"p.{k}_doc").eqNullSafe(F.col(f"s.{k}_doc"))
     one = pairs.alias("p").join(side("b", "y").alias("s"), same("b")).select("p.a", "p.a_doc", "p.b", "y")

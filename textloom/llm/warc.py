@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import tokens
+from textloom.llm import bloom, tokens
+from textloom.tables import materialize
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -198,10 +199,16 @@ def _record_id(page_id: Column) -> Column:
 
 def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, html -> `record`: the WARC record's text without its last CRLF."""
+    spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]+", "%20").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    first = keyed.filter(F.col("n") >= min_revisit_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("response_id"))
-    joined = keyed.join(first, ["digest", "n"], "left")
+    keyed = keyed.withColumn("key", F.xxhash64("digest", "n"))
+    several = keyed.filter(F.col("n") >= min_revisit_bytes).groupBy("digest", "n", "key").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).filter("copies > 1")
+    several = materialize(spark, several.select("digest", "n", "key", "response_id"), "warc-copies")
+    # Only payloads that may have copies go through the join; all others are written where they are read.
+    maybe = bloom.might_contain(spark.sparkContext.broadcast(bloom.build(several, "key")), "key")
+    marked = keyed.withColumn("maybe", maybe)
+    joined = marked.filter("maybe").join(several.drop("key"), ["digest", "n"], "left").unionByName(marked.filter("NOT maybe").withColumn("response_id", F.lit(None).cast("long")))
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))

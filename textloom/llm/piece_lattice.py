@@ -4,8 +4,8 @@ Forward Viterbi scores of the lattice are exact heuristics of a backward A* sear
 text, are ordered by (score of what they hold) + (best score of what is left), and leave the queue in order of their
 whole score. Scores are those stored in the model; a character that no piece covers becomes its bytes, with one penalty.
 
-Whole texts factor exactly: no piece holds a word after a space mark, so the lattice has a cut before each run of marks
-and around each line end. Words are searched once and kept in a bounded memo. The N best of a text differ from its best
+Whole texts factor exactly: where no piece of the model holds two neighbouring kinds of characters (letters and
+punctuation, a word and the mark after it, line ends), the lattice has a cut; the model's own pieces decide which rules hold. Words are searched once and kept in a bounded memo. The N best of a text differ from its best
 only in the N - 1 words whose second-best segmentation costs least, so A* runs for those words alone.
 
 Defined results: a null or empty text has no pieces, score 0 and decodes to itself; texts with the mark U+2581 decode to
@@ -32,10 +32,14 @@ N_BEST = 4
 #: The model's penalty for an uncovered character, below its least usable score; scores below UNUSABLE mark reserved pieces.
 PENALTY, UNUSABLE = 10.0, -1e8
 #: Words kept by the memo of one Python worker.
-MEMO = 250_000
+MEMO = 500_000
 #: Words of one vectorised block, and the longest word in one.
 BLOCK_WORDS, BLOCK_LENGTH = 4096, 40
-_WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Ways to cut texts, finest first; one is used if no piece of the model spans two of its matches.
+_CUTS = (
+    re.compile(f"{MARK}*[^{MARK}\\W\\d_²]+|{MARK}*(?:[^{MARK}\n\\w]|[_²])+|{MARK}*\\d+|{MARK}+|\n"),
+    re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"),
+)
 
 
 def _span_hash(polynomial: np.ndarray, size: int) -> np.ndarray:
@@ -66,7 +70,7 @@ class Model:
         order = np.argsort(keys)
         self.span_keys = keys[order]
         self.span_ids, self.span_scores = (np.array([v[k] for v in self.pieces.values()])[order] for k in (0, 1))
-        self.factors = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.pieces)
+        self.cut = next((c for c in _CUTS if all(len(c.findall(p)) == 1 for p in self.pieces)), None)
 
     @staticmethod
     def _key(piece: str) -> np.uint64:
@@ -216,37 +220,69 @@ class Model:
         return data[1:] if data.startswith(b" ") else data
 
 
+class Memo:
+    """Words already searched: their ids, scores and second-best costs in flat arrays. Full, it keeps the words met twice."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.firsts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.scores, self.costs, self.met = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, words: list[str], found: list[tuple[float, tuple[int, ...], float]]) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable([f[1] for f in found]), np.int32)])
+        self.firsts = np.concatenate([self.firsts, self.firsts[-1] + np.cumsum([len(f[1]) for f in found], dtype=np.int64)])
+        self.scores = np.concatenate([self.scores, [f[0] for f in found]])
+        self.costs = np.concatenate([self.costs, [f[2] for f in found]])
+        self.met = np.concatenate([self.met, np.zeros(len(found), np.int64)])
+
+    def shrink(self) -> None:
+        keep = self.met > 1
+        words = [w for w, k in zip(self.place, keep.tolist(), strict=True) if k]
+        sizes = np.diff(self.firsts)
+        self.ids, self.firsts = self.ids[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.scores, self.costs, self.met = self.scores[keep], self.costs[keep], self.met[keep] // 2
+        self.place = dict(zip(words, range(len(words)), strict=True))
+
+
 class Encoder:
     def __init__(self, path: str, n: int = N_BEST):
         self.model, self.n = Model(path), n
-        self.memo: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.memo = Memo()
         self.gaps: dict[str, list[float]] = {}
 
     def words(self, text: str) -> list[str]:
         marked = MARK + text.replace(" ", MARK)
-        return _WORDS.findall(marked) if self.model.factors else [marked]
+        return self.model.cut.findall(marked) if self.model.cut else [marked]
 
-    def warm(self, texts: list[str]) -> list[list[str]]:
-        """The texts' words, all of them in the memo."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[float]]]:
+        """For each text: ids and score of the best segmentation, and the scores of the n best."""
+        memo = self.memo
+        if len(memo.place) > MEMO:
+            memo.shrink()
+            if len(memo.place) > MEMO // 2:
+                memo.__init__()
             self.gaps.clear()
         cut = [self.words(t) if t else [] for t in texts]
-        missing = list(set().union(*map(set, cut)).difference(self.memo))
-        self.memo.update(zip(missing, self.model.best_many(missing), strict=True))
-        return cut
-
-    def encode(self, text: str, words: list[str] | None = None) -> tuple[list[int], float, list[float]]:
-        """Ids and score of the best segmentation, and the scores of the n best."""
-        if not text:
-            return [], 0.0, [0.0]
-        memo = self.memo
-        if words is None:
-            words = self.warm([text])[0]
-        found = list(map(memo.__getitem__, words))
-        ids = list(chain.from_iterable([f[1] for f in found]))
-        score = float(sum([f[0] for f in found]))
-        costs = np.array([f[2] for f in found])
+        every = list(chain.from_iterable(cut))
+        missing = list(set(every).difference(memo.place))
+        if missing:
+            memo.add(missing, self.model.best_many(missing))
+        at = np.fromiter(map(memo.place.__getitem__, every), np.int64, len(every))
+        memo.met += np.bincount(at, minlength=len(memo.met))
+        sizes = np.diff(memo.firsts)[at]
+        ends = np.cumsum(sizes)
+        ids = memo.ids[np.repeat(memo.firsts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        scores, costs = memo.scores[at], memo.costs[at]
+        stops, done = np.concatenate([[0], ends]), 0
+        for words in cut:
+            here = slice(done, done + len(words))
+            score = float(scores[here].sum())
+            yield ids[stops[done] : stops[done + len(words)]], score, self.tops(words, costs[here], score)
+            done += len(words)
+
+    def tops(self, words: list[str], costs: np.ndarray, score: float) -> list[float]:
+        """Scores of the n best: only the words with the n - 1 least costs of a second-best segmentation can differ."""
         near = np.argpartition(costs, self.n - 2)[: self.n - 1] if len(costs) >= self.n > 1 else np.arange(len(costs))
         tops = [0.0]
         for w in near[np.isfinite(costs[near])].tolist() if self.n > 1 else []:
@@ -255,7 +291,7 @@ class Encoder:
                 own = self.model.nbest(words[w], self.n)
                 gaps = self.gaps[words[w]] = [s - own[0][0] for s, _ in own]
             tops = sorted((a + g for a in tops for g in gaps), reverse=True)[: self.n]
-        return ids, score, [score + t for t in tops]
+        return [score + t for t in tops]
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text, by A* over its words' own n best."""
@@ -276,9 +312,8 @@ def _encode_rows(path: str, n: int, keys: list[str]):
         for batch, texts in tokens.text_batches(batches):
             size, ids, sha, best, scores, decoded, same = [], [], [], [], [], [], []
             decoded_texts = [x.decode("utf-8", "replace") for x in texts]
-            for text, plain, words in zip(texts, decoded_texts, coder.warm(decoded_texts), strict=True):
-                found, score, tops = coder.encode(plain, words)
-                array, back = np.array(found, np.int32), coder.model.decode(found)
+            for text, (array, score, tops) in zip(texts, coder.encode(decoded_texts), strict=True):
+                back = coder.model.decode(array.tolist())
                 size.append(len(text))
                 ids.append(array)
                 sha.append(hashlib.sha256(array.tobytes()).hexdigest())

@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, ngram_join, quality_ledger, quality_rank, source_mix, token_cache, toxic_neighbours, warc
+from textloom.llm import media, ngram_join, piece_lattice, quality_ledger, quality_rank, source_mix, token_cache, toxic_neighbours, warc
 from textloom.tables import scratch_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.op1_sentencepiece_nbest(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op2_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +51,7 @@ def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
     "op2_avi_mjpeg": op2_avi_mjpeg,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_weighted_fair_mix": op4_weighted_fair_mix,

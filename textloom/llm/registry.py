@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, ngram_join, piece_lattice, quality_ledger, quality_rank, source_mix, token_cache, toxic_neighbours, warc
+from textloom.llm import media, ngram_join, piece_lattice, pitman_yor, quality_ledger, quality_rank, source_mix, token_cache, toxic_neighbours, warc
 from textloom.tables import scratch_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op5_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.op5_digest_token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.op6_pitman_yor(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op7_warc_salvage(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_ledger": op3_quality_ledger,
     "op4_weighted_fair_mix": op4_weighted_fair_mix,
     "op5_digest_token_counts": op5_digest_token_counts,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_warc_salvage": op7_warc_salvage,
     "op8_bradley_terry_quality": op8_bradley_terry_quality,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

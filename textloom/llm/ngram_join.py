@@ -6,8 +6,8 @@ frequency sketch of fixed size over all documents; any common order keeps the fi
 shingles (passages, frequent phrases) last. Length, positional and suffix filters cut candidates before a pair is
 verified, once, on whole sets.
 
-Links within a group of n near copies are not all emitted: first every class is compared with the least class of each of
-its prefix buckets, then, across the components these links make, all pairs that share a bucket. No link between different
+Links within a group of n near copies are not all emitted: first every class is compared with one hub class of each of its
+prefix buckets, then, across the components these links make, all pairs that share a bucket. No link between different
 components is lost, so components are those of all links.
 
 Shingles and classes are 64-bit hashes: n distinct sets are expected to collide in n**2 / 2**65 cases.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bloom, tokens
 from textloom.llm.components import components
-from textloom.tables import materialize
+from textloom.tables import materialize, write_scratch
 
 WIDTH = 3
 PERCENT = 90
@@ -38,37 +38,40 @@ PERCENT = 90
 SKETCH_BITS, SLICE_BITS = 22, 16
 #: Tasks whose slices are added up together before the last sum.
 FAN_IN = 256
-BINS = 16
+#: Hash ranges of the suffix filter.
+BINS = 512
+SIGNS = tuple(f"s{k}" for k in range(BINS // 64))
 
 
 def _sets(texts: list[bytes], width: int):
-    """Per text: distinct shingles (flat, by text), numbers, class ids and histograms of the sets over BINS hash ranges."""
+    """Per text: distinct shingles (flat, by text), numbers, class ids and parities of the sets' sizes in BINS hash ranges."""
     hashes, counts, _ = tokens.words(texts)
     keys, sizes = tokens.shingles(hashes, counts, width)
     doc = np.repeat(np.arange(len(texts)), sizes)
     total, ends = np.zeros(len(keys) + 1, np.uint64), np.cumsum(sizes)
     np.cumsum(tokens.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
     ids = tokens.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
-    bins = np.bincount(doc * BINS + (keys >> np.uint64(60)).astype(np.int64), minlength=len(texts) * BINS).reshape(-1, BINS)
-    return keys, sizes, ids.view(np.int64), bins
+    return keys, sizes, ids.view(np.int64), doc
 
 
-def _pack(bins: np.ndarray) -> list[np.ndarray]:
-    small = np.minimum(bins, 0xFFFF).astype(np.uint16)
-    return [np.ascontiguousarray(small[:, k : k + 4]).view(np.int64).ravel() for k in range(0, BINS, 4)]
+def _parities(keys: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:
+    """Bit b of a text: whether its set has an odd number of shingles in hash range b of BINS; as BINS / 64 columns."""
+    odd = np.bincount(doc * BINS + (keys & np.uint64(BINS - 1)).astype(np.int64), minlength=n * BINS).reshape(n, BINS) & 1
+    packed = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    return [np.ascontiguousarray(packed[:, k]) for k in range(BINS // 64)]
 
 
 def _classes(width: int):
-    names = ["part", "blob", "doc_id", "n_shingles", "class_id", "s0", "s1", "s2", "s3"]
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * 4]
+    names = ["part", "blob", "doc_id", "n_shingles", "class_id", *SIGNS]
+    types = [pa.int32(), pa.binary(), *[pa.int64()] * (3 + len(SIGNS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch, texts in tokens.text_batches(batches):
-            keys, sizes, ids, bins = _sets(texts, width)
+            keys, sizes, ids, doc = _sets(texts, width)
             np.add.at(sketch, (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n, empty = len(texts), pa.nulls
-            yield pa.RecordBatch.from_arrays([empty(n, pa.int32()), empty(n, pa.binary()), batch.column("doc_id"), pa.array(sizes), pa.array(ids), *map(pa.array, _pack(bins))], names)
+            yield pa.RecordBatch.from_arrays([empty(n, pa.int32()), empty(n, pa.binary()), batch.column("doc_id"), pa.array(sizes), pa.array(ids), *map(pa.array, _parities(keys, doc, n))], names)
         parts = np.flatnonzero(sketch.reshape(-1, 1 << SLICE_BITS).any(1))
         group = TaskContext.get().partitionId() // FAN_IN << (SKETCH_BITS - SLICE_BITS)
         blobs = [_squeeze(sketch[p << SLICE_BITS : (p + 1) << SLICE_BITS]) for p in parts]
@@ -179,70 +182,114 @@ def _room(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     return (100 + percent) * (1 + F.least(n - i, m - j) - 1) >= percent * (n + m)
 
 
-def _histogram(s: str, k: int) -> Column:
-    return F.shiftrightunsigned(F.col(s), 16 * k).bitwiseAND(F.lit(0xFFFF))
+def _apart(a: str, b: str) -> Column:
+    """Least number of shingles that only one of two sets has: the ranges in which their sizes differ in parity."""
+    return sum(F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SIGNS)
 
 
-def _suffix(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: the sets' sizes over BINS hash ranges differ by no more than two sets over the threshold can."""
-    left = classes.select(F.col("class_id").alias("a"), F.col("doc_id").alias("a_doc"), F.col("n_shingles").alias("a_n"), *[F.col(f"s{k}").alias(f"a{k}") for k in range(4)])
-    right = classes.select(F.col("class_id").alias("b"), F.col("doc_id").alias("b_doc"), F.col("n_shingles").alias("b_n"), *[F.col(f"s{k}").alias(f"b{k}") for k in range(4)])
-    apart = sum(F.abs(_histogram(f"a{k}", i) - _histogram(f"b{k}", i)) for k in range(4) for i in range(4))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.filter((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "a_doc", "b", "b_doc")
+def _suffix(n: str, m: str, a: str, b: str, percent: int) -> Column:
+    """Suffix filter: sets that differ in more shingles than two sets over the threshold can are left out."""
+    return (100 + percent) * _apart(a, b) <= (100 - percent) * (F.col(n) + F.col(m))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, a_doc, b, b_doc) whose whole sets reach the threshold."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("class_id"), F.col("a_doc").alias("doc_id")).union(pairs.select("b", "b_doc"))
-    shipped = spark.sparkContext.broadcast(bloom.build(wanted.select(_place(F.col("doc_id"), F.col("class_id")).alias("key")), "key"))
-    sets = docs.select("doc_id", "text").mapInArrow(_fetch(width, shipped), "class_id bigint, doc_id bigint, shingles binary")
-    side = lambda k, name: sets.select(F.col("class_id").alias(k), F.col("doc_id").alias(f"{k}_doc"), F.col("shingles").alias(name))
-    same = lambda k: (F.col(f"p.{k}") == F.col(f"s.{k}")) & F.col(f"p.{k}_doc").eqNullSafe(F.col(f"s.{k}_doc"))
-    one = pairs.alias("p").join(side("b", "y").alias("s"), same("b")).select("p.a", "p.a_doc", "p.b", "y")
-    both = one.alias("p").join(side("a", "x").alias("s"), same("a")).select("p.a", "p.b", "x", "y")
-    return both.mapInArrow(_verify(percent), "a bigint, b bigint")
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) with the documents that stand for the classes."""
+    of = lambda k: classes.select(F.col("class_id").alias(k), F.col("doc_id").alias(f"{k}_doc"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "a_doc", "b", "b_doc")
+
+
+class _Sets:
+    """Whole shingle sets of the classes that have been candidates, in the shared folder; each is computed once."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        self.docs, self.width, self.paths = docs, width, []
+
+    def stored(self) -> DataFrame:
+        return self.docs.sparkSession.read.schema("class_id bigint, doc_id bigint, shingles binary").parquet(*self.paths)
+
+    def add(self, pairs: DataFrame) -> None:
+        spark = self.docs.sparkSession
+        wanted = pairs.select(F.col("a").alias("class_id"), F.col("a_doc").alias("doc_id")).union(pairs.select("b", "b_doc")).distinct()
+        if self.paths:
+            wanted = wanted.join(self.stored().select("class_id"), "class_id", "left_anti")
+        wanted = materialize(spark, wanted, "wanted")
+        if wanted.isEmpty():
+            return
+        shipped = spark.sparkContext.broadcast(bloom.build(wanted.select(_place(F.col("doc_id"), F.col("class_id")).alias("key")), "key"))
+        sets = self.docs.select("doc_id", "text").mapInArrow(_fetch(self.width, shipped), "class_id bigint, doc_id bigint, shingles binary")
+        self.paths.append(write_scratch(spark, sets, "sets"))
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs (a, a_doc, b, b_doc) whose whole sets reach the threshold."""
+        self.add(pairs)
+        if not self.paths:
+            return pairs.select("a", "b")
+        side = lambda k, name: self.stored().select(F.col("class_id").alias(k), F.col("doc_id").alias(f"{k}_doc"), F.col("shingles").alias(name))
+        same = lambda k: (F.col(f"p.{k}") == F.col(f"s.{k}")) & F.col(f"p.{k}_doc").eqNullSafe(F.col(f"s.{k}_doc"))
+        one = pairs.alias("p").join(side("b", "y").alias("s"), same("b")).select("p.a", "p.a_doc", "p.b", "y")
+        both = one.alias("p").join(side("a", "x").alias("s"), same("a")).select("p.a", "p.b", "x", "y")
+        return both.mapInArrow(_verify(percent), "a bigint, b bigint")
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a bucket and belong to different components, from buckets' components and length classes."""
+    heads = placed.select("h", "c", "len").distinct()
+    others = heads.select("h", F.col("c").alias("d"), F.col("len").alias("len_d"), F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("len"))
+    across = heads.join(others, ["h", "len"]).filter("c <> d AND (len <> len_d OR c < d)").select("h", "c", "d", "len", "len_d")
+    x = placed.select("h", "c", "len", F.col("class_id").alias("x"), "n", "pos", *SIGNS)
+    y = _right(placed).withColumnRenamed("c", "d").withColumnRenamed("len", "len_d")
+    return across.join(x, ["h", "c", "len"]).join(y, ["h", "d", "len_d"]).filter(_passes(percent))
+
+
+def _right(rows: DataFrame) -> DataFrame:
+    """The right side of a join: other names for what the filters compare."""
+    names = {"class_id": "y", "n": "m", "pos": "j"} | {s: f"r_{s}" for s in SIGNS}
+    return rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns])
+
+
+def _passes(percent: int) -> Column:
+    """Length, positional and suffix filter of a bucket's row against a row of _right."""
+    return _near(F.col("n"), F.col("m"), percent) & _room(F.col("n"), F.col("pos"), F.col("m"), F.col("j"), percent) & _suffix("n", "m", "", "r_", percent)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id; component_id is the least doc_id reachable by links."""
     spark = docs.sparkSession
     tokens.bound_batches(spark)
-    scanned = docs.select("doc_id", "text").mapInArrow(_classes(width), "part int, blob binary, doc_id bigint, n_shingles bigint, class_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    scanned = docs.select("doc_id", "text").mapInArrow(_classes(width), "part int, blob binary, doc_id bigint, n_shingles bigint, class_id bigint, " + ", ".join(f"{s} bigint" for s in SIGNS))
     scanned = materialize(spark, scanned, "classes")
     sketch = spark.sparkContext.broadcast(_sketch(scanned.filter("part IS NOT NULL").select("part", "blob")))
-    members = scanned.filter("part IS NULL").select("doc_id", "n_shingles", "class_id", "s0", "s1", "s2", "s3")
-    classes = members.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")])
+    members = scanned.filter("part IS NULL").select("doc_id", "n_shingles", "class_id", *SIGNS)
+    classes = members.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("n_shingles", *SIGNS)])
     classes = materialize(spark, classes, "class-table")
 
     entries = materialize(spark, docs.select("doc_id", "text").mapInArrow(_prefixes(width, percent, sketch), "h bigint, class_id bigint, n int, pos int"), "prefixes")
-    buckets = entries.groupBy("h").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).filter("least <> most").select("h", "least")
-    shared = materialize(spark, entries.join(buckets, "h").select("h", "class_id", "n", "pos", "least"), "buckets")
-
-    # First round: every class against the least class of each of its buckets.
-    anchors = shared.filter("class_id = least").groupBy("h").agg(F.first("n").alias("m"), F.first("pos").alias("j"))
-    met = shared.filter("class_id <> least").join(anchors, "h").filter(_near(F.col("n"), F.col("m"), percent) & _room(F.col("n"), F.col("pos"), F.col("m"), F.col("j"), percent))
-    first = materialize(spark, _suffix(met.select(F.col("least").alias("a"), F.col("class_id").alias("b")).distinct(), classes, percent), "pairs")
-    links = materialize(spark, _verified(docs, first, width, percent), "links")
+    buckets = entries.groupBy("h").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).filter("least <> most").select("h")
+    shared = materialize(spark, entries.join(buckets, "h"), "buckets")
+
+    # First round: every class against one of each of its buckets: that with most shared prefixes, which has few shingles
+    # of its own and so is close to many.
+    common = shared.groupBy("class_id").agg(F.count("*").alias("shares"))
+    signed = shared.join(common, "class_id").join(classes.select("class_id", *SIGNS), "class_id")
+    signed = materialize(spark, signed, "signed")
+    hubs = signed.groupBy("h").agg(F.max_by("class_id", "shares").alias("class_id"))
+    right = _right(signed.drop("shares").join(hubs, ["h", "class_id"]).dropDuplicates(["h"]))
+    met = signed.join(right, "h").filter((F.col("class_id") != F.col("y")) & _passes(percent))
+    tested = materialize(spark, _named(met.select(F.least("class_id", "y").alias("a"), F.greatest("class_id", "y").alias("b")).distinct(), classes), "pairs")
+    sets = _Sets(docs, width)
+    links = materialize(spark, sets.verified(tested, percent), "links")
     label = components(links)
 
-    # Second round: pairs that share a bucket across components; one row per bucket, component and length class first.
-    step = (F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))).cast("int")
-    placed = shared.select("h", "class_id", "n", "pos", step.alias("len")).join(label, F.col("class_id") == F.col("id"), "left")
-    placed = placed.select("h", "class_id", "n", "pos", "len", F.coalesce("component", "class_id").alias("c"))
+    # Second round: every pair that shares a bucket across the components made so far.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    placed = signed.select("h", "class_id", "n", "pos", step.alias("len"), *SIGNS).join(label, F.col("class_id") == F.col("id"), "left")
+    placed = placed.select("h", "class_id", "n", "pos", "len", *SIGNS, F.coalesce("component", "class_id").alias("c"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
     placed = materialize(spark, placed.join(mixed, "h", "left_semi"), "placed")
-    heads = placed.select("h", "c", "len").distinct()
-    others = heads.select("h", F.col("c").alias("d"), F.col("len").alias("len_d"), F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("len"))
-    across = heads.join(others, ["h", "len"]).filter("c <> d AND (len <> len_d OR c < d)").select("h", "c", "d", F.col("len"), "len_d")
-    x = placed.select("h", "c", "len", F.col("class_id").alias("x"), "n", "pos")
-    y = placed.select("h", F.col("c").alias("d"), F.col("len").alias("len_d"), F.col("class_id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("j"))
-    found = across.join(x, ["h", "c", "len"]).join(y, ["h", "d", "len_d"]).filter(_near(F.col("n"), F.col("m"), percent) & _room(F.col("n"), F.col("pos"), F.col("m"), F.col("j"), percent))
-    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(spark, _suffix(found, classes, percent), "pairs")
-    if not second.isEmpty():
-        links = materialize(spark, links.union(_verified(docs, second, width, percent)), "links")
+    found = _across(placed, percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fresh = materialize(spark, _named(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes), "pairs")
+    if not fresh.isEmpty():
+        links = materialize(spark, links.union(sets.verified(fresh, percent)), "links")
         label = components(links)
 
     named = classes.select("class_id", "doc_id").join(label, F.col("class_id") == F.col("id"), "left").select("class_id", "doc_id", F.coalesce("component", "class_id").alias("c"))

@@ -30,7 +30,7 @@ MOD, HELD = 3, 1
 CUT = 0.7
 K, BLOCK = 25, 32
 #: Natural logarithm of the chance below which a term's tie to label 1 counts.
-TAIL = 10.0
+TAIL = 9.0
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,19 +150,37 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in tokens.text_batches(batches):
         hashes, tf, counts = terms(texts)
         ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["doc_id", "label", "terms", "tf"])
+        least = [int(x.min()) if len(x) else 0 for x in np.split(tokens.mix(hashes).view(np.int64), np.cumsum(counts)[:-1])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(least, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["doc_id", "label", "kin", "terms", "tf"])
+
+
+def _vocabulary_rows(vocabulary: np.ndarray):
+    """Keep the vocabulary's terms only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, tf = batch.column("terms"), batch.column("tf")
+            hit = np.isin(found.flatten().to_numpy().view(np.uint64), vocabulary)
+            ends = np.concatenate([[0], np.cumsum(hit)])[found.offsets.to_numpy() - found.offsets[0].as_py()].astype(np.int32)
+            keep = pa.array(hit, pa.bool_())
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x.flatten().filter(keep)) for x in (found, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "tf"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_terms: int = TERMS) -> Index:
     spark = docs.sparkSession
     tokens.bound_batches(spark)
-    sample = labelled.sample(docs, labels, "toxic", MOD, HELD, size).select("doc_id", "label", "text").mapInArrow(_term_rows, "doc_id bigint, label int, terms array<bigint>, tf array<int>")
+    sample = labelled.sample(docs, labels, "toxic", MOD, HELD, size).select("doc_id", "label", "text").mapInArrow(_term_rows, "doc_id bigint, label int, kin bigint, terms array<bigint>, tf array<int>")
     sample = materialize(spark, sample, "toxic-sample")
-    size_of = sample.agg(F.count("*").alias("n"), F.sum("label").alias("a")).head()
-    n, share = size_of["n"], (size_of["a"] or 0) / max(size_of["n"], 1)
+    # Near copies would make their common words look tied to a label: documents with the same least hash count once.
+    kin = sample.groupBy("kin").agg(F.max("label").alias("label"), F.count("*").alias("docs"))
+    size_of = kin.agg(F.count("*").alias("n"), F.sum("label").alias("a"), F.sum("docs").alias("docs")).head()
+    n, docs_n, share = size_of["n"], size_of["docs"] or 0, (size_of["a"] or 0) / max(size_of["n"], 1)
     if not n or not 0 < share < 1:
-        return build(np.zeros(0, np.uint64), np.zeros(0), np.zeros(n, np.int64), np.full(n, int(share)), [(np.zeros(0, np.uint64), np.zeros(0))] * n)
-    counted = sample.select("label", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
+        return build(np.zeros(0, np.uint64), np.zeros(0), np.zeros(docs_n, np.int64), np.full(docs_n, int(share)), [(np.zeros(0, np.uint64), np.zeros(0))] * docs_n)
+    counted = sample.select("kin", "label", F.explode("terms").alias("t")).groupBy("t", "kin").agg(F.max("label").alias("label")).groupBy("t").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
     rate = F.col("a") / F.col("n")
     surprise = F.col("a") * F.log(rate / share) + F.when(F.col("a") < F.col("n"), (F.col("n") - F.col("a")) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
     chosen = counted.filter((rate > share) & (F.col("n") < n)).withColumn("s", surprise).filter(F.col("s") > TAIL).orderBy(F.desc("s"), "t").limit(most_terms).toArrow()
@@ -170,9 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_terms: in
     order = np.argsort(hashes)
     vocabulary = hashes[order]
     idf = np.log(1 + n / chosen.column("n").to_numpy()[order])
-    wanted = F.array(*[F.lit(int(x)) for x in vocabulary.view(np.int64)]) if len(vocabulary) else F.array().cast("array<bigint>")
-    pairs = F.filter(F.arrays_zip("terms", "tf"), lambda p: F.array_contains(wanted, p["terms"]))
-    rows = sample.select("doc_id", "label", F.transform(pairs, lambda p: p["terms"]).alias("terms"), F.transform(pairs, lambda p: p["tf"]).alias("tf")).toArrow()
+    rows = sample.select("doc_id", "label", "terms", "tf").mapInArrow(_vocabulary_rows(vocabulary), "doc_id bigint, label int, terms array<bigint>, tf array<int>").toArrow()
     rows = sorted(zip(*[rows.column(c).to_pylist() for c in ("doc_id", "label", "terms", "tf")], strict=True))
     return build(vocabulary, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [(np.array(r[2], np.int64).view(np.uint64), np.array(r[3], float)) for r in rows])
 

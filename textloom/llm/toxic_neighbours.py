@@ -31,6 +31,8 @@ CUT = 0.7
 K, BLOCK = 25, 32
 #: Natural logarithm of the chance below which a term's tie to label 1 counts.
 TAIL = 9.0
+#: Least factor by which a term raises the share of label 1; without it, weak ties of common words would fill the index.
+LIFT = 3.0
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_terms: in
     counted = sample.select("kin", "label", F.explode("terms").alias("t")).groupBy("t", "kin").agg(F.max("label").alias("label")).groupBy("t").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
     rate = F.col("a") / F.col("n")
     surprise = F.col("a") * F.log(rate / share) + F.when(F.col("a") < F.col("n"), (F.col("n") - F.col("a")) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    chosen = counted.filter((rate > share) & (F.col("n") < n)).withColumn("s", surprise).filter(F.col("s") > TAIL).orderBy(F.desc("s"), "t").limit(most_terms).toArrow()
+    chosen = counted.filter((rate > min(LIFT * share, (1 + share) / 2)) & (F.col("n") < n)).withColumn("s", surprise).filter(F.col("s") > TAIL).orderBy(F.desc("s"), "t").limit(most_terms).toArrow()
     hashes = chosen.column("t").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     vocabulary = hashes[order]

@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by rare-first prefix filtering, and the components of its links.
 
 Documents with equal shingle sets are one class; classes are joined. A class's shingles are ordered rare first, and only
-a prefix of them is emitted: two sets over the threshold share a shingle of their prefixes. The order comes from a
-frequency sketch of fixed size over all documents; any common order keeps the filter exact, and the sketch puts common
-shingles (passages, frequent phrases) last. Length, positional and suffix filters cut candidates before a pair is
+a prefix of them is emitted: two sets over the threshold share a shingle of their prefixes. The order comes from two
+frequency sketches of fixed size over all documents: shingles that the first shows to be common (passages, phrases) come
+last, all others in order of their words' frequencies in the second. Any common order keeps the filter exact. Length, positional and suffix filters cut candidates before a pair is
 verified, once, on whole sets.
 
 Links within a group of n near copies are not all emitted: first every class is compared with one hub class of each of its
@@ -34,7 +34,7 @@ from textloom.tables import materialize, write_scratch
 
 WIDTH = 3
 PERCENT = 90
-#: Cells of the frequency sketch (16 bits each when sent to executors), and cells of one of its slices.
+#: Cells of each of the two frequency sketches (16 bits each when sent to executors), and cells of one of their slices.
 SKETCH_BITS, SLICE_BITS = 22, 16
 #: Tasks whose slices are added up together before the last sum.
 FAN_IN = 256
@@ -43,11 +43,14 @@ BINS = 512
 SIGNS = tuple(f"s{k}" for k in range(BINS // 64))
 
 
-def _sets(texts: list[bytes], width: int):
-    """Per text: distinct shingles (flat, by text), numbers, class ids and parities of the sets' sizes in BINS hash ranges."""
-    hashes, counts, _ = tokens.words(texts)
-    keys, sizes = tokens.shingles(hashes, counts, width)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sets(spelled: tuple[np.ndarray, np.ndarray], n: int, width: int):
+    """Of n texts' words: distinct shingles (flat, by text), numbers, class ids and parities of the sets' sizes in BINS hash ranges."""
+    keys, sizes = tokens.shingles(*spelled, width)
+    doc = np.repeat(np.arange(n), sizes)
     total, ends = np.zeros(len(keys) + 1, np.uint64), np.cumsum(sizes)
     np.cumsum(tokens.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
     ids = tokens.mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
@@ -66,14 +69,16 @@ def _classes(width: int):
     types = [pa.int32(), pa.binary(), *[pa.int64()] * (3 + len(SIGNS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(2 << SKETCH_BITS, np.uint32)  # of shingles, then of words
         for batch, texts in tokens.text_batches(batches):
-            keys, sizes, ids, doc = _sets(texts, width)
-            np.add.at(sketch, (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            spelled = tokens.words(texts)[:2]
+            keys, sizes, ids, doc = _sets(spelled, len(texts), width)
+            np.add.at(sketch, _cell(keys), 1)
+            np.add.at(sketch, _cell(spelled[0]) + (1 << SKETCH_BITS), 1)
             n, empty = len(texts), pa.nulls
             yield pa.RecordBatch.from_arrays([empty(n, pa.int32()), empty(n, pa.binary()), batch.column("doc_id"), pa.array(sizes), pa.array(ids), *map(pa.array, _parities(keys, doc, n))], names)
         parts = np.flatnonzero(sketch.reshape(-1, 1 << SLICE_BITS).any(1))
-        group = TaskContext.get().partitionId() // FAN_IN << (SKETCH_BITS - SLICE_BITS)
+        group = TaskContext.get().partitionId() // FAN_IN << (SKETCH_BITS + 1 - SLICE_BITS)
         blobs = [_squeeze(sketch[p << SLICE_BITS : (p + 1) << SLICE_BITS]) for p in parts]
         yield pa.RecordBatch.from_arrays([pa.array(group + parts, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(len(parts), t) for t in types[2:]]], names)
 
@@ -96,14 +101,24 @@ def _add_slices(pdf):
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """The sketch of all tasks, as 16-bit counts: 2**SKETCH_BITS * 2 bytes whatever the input."""
-    slices = 1 << (SKETCH_BITS - SLICE_BITS)
+    """The sketch of all tasks, as 16-bit ranks (logarithms of counts): 2**SKETCH_BITS * 4 bytes whatever the input.
+
+    Shingles: rank of the count in excess of what chance puts into a cell, 0 for most. Words: rank of the count.
+    """
+    slices = 2 << (SKETCH_BITS - SLICE_BITS)
     near = parts.groupBy("part").applyInPandas(_add_slices, "part int, blob binary")
     far = near.select((F.col("part") % slices).alias("part"), "blob").groupBy("part").applyInPandas(_add_slices, "part int, blob binary")
-    out = np.zeros((slices, 1 << SLICE_BITS), np.uint16)
+    counts = np.zeros((slices, 1 << SLICE_BITS), np.uint32)
     for row in far.toLocalIterator():
-        out[row["part"]] = np.minimum(_stretch(row["blob"]), 0xFFFF)
-    return out.ravel()
+        counts[row["part"]] = _stretch(row["blob"])
+    counts = counts.reshape(2, -1)
+    load = float(np.median(counts[0]))
+    excess = np.maximum(counts[0] - (load + 5 * np.sqrt(load) + 1), 0)
+    return np.concatenate([_rank(excess), _rank(counts[1])])
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    return np.rint(8 * np.log2(counts.astype(np.float32) + 1)).astype(np.uint16)
 
 
 def prefix_length(sizes, percent: int):
@@ -116,22 +131,27 @@ def _prefixes(width: int, percent: int, sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ranks = sketch.value
         for _, texts in tokens.text_batches(batches):
-            keys, sizes, ids, _ = _sets(texts, width)
-            fresh = np.zeros(len(texts), bool)
+            n, spelled = len(texts), tokens.words(texts)[:2]
+            _, sizes, ids, _ = _sets(spelled, n, width)
+            fresh = np.zeros(n, bool)
             for i, x in enumerate(ids.tolist()):
                 if sizes[i] and x not in seen:
                     seen.add(x)
                     fresh[i] = True
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            keys, doc = keys[fresh[doc]], doc[fresh[doc]]
-            kept = np.where(fresh, sizes, 0)
-            starts = np.repeat(np.cumsum(kept) - kept, kept)
-            place = np.arange(len(keys)) - starts
-            # Frequency, then place by value: one number that sorts rare first.
-            rank = sketch.value[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | place.astype(np.uint64)
-            tokens.sort_within(rank, kept)
-            keys = keys[(rank & np.uint64((1 << 40) - 1)).astype(np.int64) + starts]
+            keys, at = tokens.shingle_keys(*spelled, width)
+            doc = np.repeat(np.arange(n), spelled[1])
+            at = at[fresh[doc[at]]]
+            rare, last = np.zeros(len(at), np.uint64), np.cumsum(spelled[1])[doc[at]] - 1
+            for k in range(width):
+                rare += np.where(at + k <= last, ranks[_cell(spelled[0][np.minimum(at + k, last)]) + (1 << SKETCH_BITS)], 0).astype(np.uint64)
+            often = ranks[_cell(keys[at])].astype(np.uint64)
+            # One number for order and identity: common shingles last, else by how rare their words are, then by hash.
+            rank = np.minimum(np.where(often > 0, np.uint64(1024) + often, np.minimum(rare, np.uint64(1023))), np.uint64(2047))
+            keys, kept = tokens.distinct(rank << np.uint64(53) | keys[at] >> np.uint64(11), doc[at], n)
+            doc = np.repeat(np.arange(n), kept)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(kept) - kept, kept)
             use = place < prefix_length(sizes, percent)[doc]
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[doc[use]]), pa.array(sizes[doc[use]].astype(np.int32)), pa.array(place[use].astype(np.int32))], names)
 
@@ -147,7 +167,7 @@ def _fetch(width: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch, texts in tokens.text_batches(batches):
-            keys, sizes, ids, _ = _sets(texts, width)
+            keys, sizes, ids, _ = _sets(tokens.words(texts)[:2], len(texts), width)
             hit = (sizes > 0) & bloom.contains(shipped.value, batch.column("doc_id").fill_null(0).to_numpy() ^ ids)
             ends, rows = np.cumsum(sizes), []
             for i in np.flatnonzero(hit).tolist():
@@ -192,10 +212,11 @@ def _suffix(n: str, m: str, a: str, b: str, percent: int) -> Column:
     return (100 + percent) * _apart(a, b) <= (100 - percent) * (F.col(n) + F.col(m))
 
 
-def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) with the documents that stand for the classes."""
-    of = lambda k: classes.select(F.col("class_id").alias(k), F.col("doc_id").alias(f"{k}_doc"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "a_doc", "b", "b_doc")
+def _named(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that pass the suffix filter, with the documents that stand for the classes."""
+    of = lambda k: classes.select(F.col("class_id").alias(k), F.col("doc_id").alias(f"{k}_doc"), F.col("n_shingles").alias(f"{k}_n"), *[F.col(s).alias(f"{k}_{s}") for s in SIGNS])
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    return joined.filter(_suffix("a_n", "b_n", "a_", "b_", percent)).select("a", "a_doc", "b", "b_doc")
 
 
 class _Sets:
@@ -232,13 +253,16 @@ class _Sets:
 
 
 def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a bucket and belong to different components, from buckets' components and length classes."""
-    heads = placed.select("h", "c", "len").distinct()
-    others = heads.select("h", F.col("c").alias("d"), F.col("len").alias("len_d"), F.explode(F.array(F.col("len"), F.col("len") - 1)).alias("len"))
-    across = heads.join(others, ["h", "len"]).filter("c <> d AND (len <> len_d OR c < d)").select("h", "c", "d", "len", "len_d")
-    x = placed.select("h", "c", "len", F.col("class_id").alias("x"), "n", "pos", *SIGNS)
-    y = _right(placed).withColumnRenamed("c", "d").withColumnRenamed("len", "len_d")
-    return across.join(x, ["h", "c", "len"]).join(y, ["h", "d", "len_d"]).filter(_passes(percent))
+    """All pairs that share a bucket, belong to different components and pass the filters.
+
+    Rows outside the component with most rows of their bucket meet all rows of the bucket: at most twice the pairs of
+    different components are looked at, however large a component is.
+    """
+    sizes = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("h").agg(F.max_by("c", "k").alias("largest"))
+    x = placed.join(largest, "h").filter("c <> largest").drop("largest").withColumnRenamed("class_id", "x")
+    y = _right(placed).withColumnRenamed("c", "d").withColumn("len", F.explode(F.array(F.col("len") - 1, F.col("len"), F.col("len") + 1)))
+    return x.join(y, ["h", "len"]).filter((F.col("c") != F.col("d")) & _passes(percent)).select("x", "y")
 
 
 def _right(rows: DataFrame) -> DataFrame:
@@ -247,9 +271,13 @@ def _right(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns])
 
 
+def _placed_well(percent: int) -> Column:
+    """Length and positional filter of a bucket's row against a row of _right."""
+    return _near(F.col("n"), F.col("m"), percent) & _room(F.col("n"), F.col("pos"), F.col("m"), F.col("j"), percent)
+
+
 def _passes(percent: int) -> Column:
-    """Length, positional and suffix filter of a bucket's row against a row of _right."""
-    return _near(F.col("n"), F.col("m"), percent) & _room(F.col("n"), F.col("pos"), F.col("m"), F.col("j"), percent) & _suffix("n", "m", "", "r_", percent)
+    return _placed_well(percent) & _suffix("n", "m", "", "r_", percent)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -270,24 +298,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # First round: every class against one of each of its buckets: that with most shared prefixes, which has few shingles
     # of its own and so is close to many.
     common = shared.groupBy("class_id").agg(F.count("*").alias("shares"))
-    signed = shared.join(common, "class_id").join(classes.select("class_id", *SIGNS), "class_id")
-    signed = materialize(spark, signed, "signed")
-    hubs = signed.groupBy("h").agg(F.max_by("class_id", "shares").alias("class_id"))
-    right = _right(signed.drop("shares").join(hubs, ["h", "class_id"]).dropDuplicates(["h"]))
-    met = signed.join(right, "h").filter((F.col("class_id") != F.col("y")) & _passes(percent))
-    tested = materialize(spark, _named(met.select(F.least("class_id", "y").alias("a"), F.greatest("class_id", "y").alias("b")).distinct(), classes), "pairs")
+    hubs = shared.join(common, "class_id").groupBy("h").agg(F.max_by("class_id", "shares").alias("class_id"))
+    right = shared.join(hubs, ["h", "class_id"]).dropDuplicates(["h"]).select("h", F.col("class_id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("j"))
+    met = shared.join(right, "h").filter((F.col("class_id") != F.col("y")) & _placed_well(percent))
+    tested = materialize(spark, _named(met.select(F.least("class_id", "y").alias("a"), F.greatest("class_id", "y").alias("b")).distinct(), classes, percent), "pairs")
     sets = _Sets(docs, width)
     links = materialize(spark, sets.verified(tested, percent), "links")
     label = components(links)
 
     # Second round: every pair that shares a bucket across the components made so far.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    placed = signed.select("h", "class_id", "n", "pos", step.alias("len"), *SIGNS).join(label, F.col("class_id") == F.col("id"), "left")
-    placed = placed.select("h", "class_id", "n", "pos", "len", *SIGNS, F.coalesce("component", "class_id").alias("c"))
+    placed = shared.join(label, F.col("class_id") == F.col("id"), "left").select("h", "class_id", "n", "pos", step.alias("len"), F.coalesce("component", "class_id").alias("c"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    placed = materialize(spark, placed.join(mixed, "h", "left_semi"), "placed")
+    placed = materialize(spark, placed.join(mixed, "h", "left_semi").join(classes.select("class_id", *SIGNS), "class_id"), "placed")
     found = _across(placed, percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    fresh = materialize(spark, _named(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes), "pairs")
+    fresh = materialize(spark, _named(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), classes, percent), "pairs")
     if not fresh.isEmpty():
         links = materialize(spark, links.union(sets.verified(fresh, percent)), "links")
         label = components(links)

@@ -70,22 +70,29 @@ def sort_within(values: np.ndarray, counts: np.ndarray) -> None:
         values[start:end].sort()
 
 
-def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each document, sorted by document and value; number of each. Fewer words than width: the whole sequence as one."""
-    n = len(hashes)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    keys = np.zeros(n, np.uint64)
-    length = np.minimum(width, np.repeat(counts, counts))
+def shingle_keys(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the shingle that begins at each word, and the words' places of those that are shingles: whole, or all of a shorter document."""
+    n, per_word = len(hashes), np.repeat(counts, counts)
+    keys, length = np.zeros(n, np.uint64), np.minimum(width, per_word)
     for k in range(width):
         part = hashes[np.minimum(np.arange(n) + k, max(n - 1, 0))] * np.uint64((2 * k + 3) * 0x9FB21C651E98DF25 & _MASK | 1) if n else keys
         keys = np.where(length > k, mix(keys + part + np.uint64(k + 1)), keys)
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-    whole = (place + width <= np.repeat(counts, counts)) | (place == 0)
-    keys, doc = keys[whole], doc[whole]
-    sort_within(keys, np.bincount(doc, minlength=len(counts)))
+    return keys, np.flatnonzero((place + width <= per_word) | (place == 0))
+
+
+def distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each of n documents, in order of document and value, and their numbers. Sorts keys in place."""
+    sort_within(keys, np.bincount(doc, minlength=n))
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    return keys[first], np.bincount(doc[first], minlength=len(counts))
+    return keys[first], np.bincount(doc[first], minlength=n)
+
+
+def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each document, sorted by document and value; number of each. Fewer words than width: the whole sequence as one."""
+    keys, at = shingle_keys(hashes, counts, width)
+    return distinct(keys[at], np.repeat(np.arange(len(counts)), counts)[at], len(counts))
 
 
 def bound_batches(spark, size: int = 16 << 20) -> None:

@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     per = per.withColumns({"left": F.col("budget") - F.coalesce(F.sum("cap").over(dry), F.lit(0)), "left_weight": F.col("all_weight") - F.coalesce(F.sum("weight").over(dry), F.lit(0))})
     level = F.col("left").cast("double") / F.col("left_weight").cast("double")
     per = per.withColumn("level", F.when(F.col("cap") >= F.col("weight") * level, level))
-    per = per.withColumn("level", F.min("level").over(every))
+    # The first source that does not run dry has the highest of the levels that hold.
+    per = per.withColumn("level", F.max("level").over(every))
     return per.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
@@ -103,7 +104,7 @@ o AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS budget, sum(
              coalesce(sum(3 * source_size) OVER dry, 0) AS gone, coalesce(sum(weight) OVER dry, 0) AS gone_weight
       FROM n WINDOW dry AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, CAST(budget - gone AS DOUBLE) / CAST(all_weight - gone_weight AS DOUBLE) AS own FROM o),
-v AS (SELECT *, min(CASE WHEN cap >= weight * own THEN own END) OVER () AS level FROM l),
+v AS (SELECT *, max(CASE WHEN cap >= weight * own THEN own END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, weight, least(CAST(cap AS DOUBLE), weight * level) AS target FROM v),
 c AS (SELECT d.*, source_size, weight, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

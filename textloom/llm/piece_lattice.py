@@ -9,7 +9,7 @@ punctuation, a word and the mark after it, line ends), the lattice has a cut; th
 only in the N - 1 words whose second-best segmentation costs least, so A* runs for those words alone.
 
 Defined results: a null or empty text has no pieces, score 0 and decodes to itself; texts with the mark U+2581 decode to
-spaces in its place (round_trip false), as in the format itself; equal scores are ordered by piece ids; repeated rows are
+spaces in its place (round_trip false), as in the format itself; equal scores come in a fixed order; repeated rows are
 encoded alike; an empty table gives no rows; other columns are not read.
 """
 
@@ -199,10 +199,10 @@ class Model:
         ahead = [0.0] + [float("-inf")] * size
         for j in range(1, size + 1):
             ahead[j] = max(ahead[i] + s for i, s, _ in ends[j])
-        queue: list = [(-ahead[size], (), size, 0.0, None)]
-        out = []
+        queue: list = [(-ahead[size], 0, size, 0.0, None)]  # of equal scores the newest comes first: straight to the start of the word
+        out, pushed = [], 0
         while queue and len(out) < n:
-            _, ids, j, held, path = heapq.heappop(queue)
+            _, _, j, held, path = heapq.heappop(queue)
             if not j:
                 whole = []
                 while path:
@@ -211,7 +211,8 @@ class Model:
                 out.append((held, self.ids_of(word, whole)))
                 continue
             for i, s, k in ends[j]:
-                heapq.heappush(queue, (-(held + s + ahead[i]), (k, *ids), i, held + s, ((i, j, k), path)))
+                pushed -= 1
+                heapq.heappush(queue, (-(held + s + ahead[i]), pushed, i, held + s, ((i, j, k), path)))
         return out
 
     def decode(self, ids: list[int]) -> bytes:

@@ -129,6 +129,6 @@ def train_valid_split(rows: DataFrame, keys: tuple[str, ...], seed: str = "42",
     unit = (group,) if group else keys
     units = rows.select(*unit).distinct() if group else rows
     ranked = running_total(units, order_key(seed, *map(F.col, unit)), F.lit(1), "_rank", unit)
-    n = units.agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(float(ratio)))).alias("_n"))
-    marked = ranked.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("_rank") <= F.col("_n"), "valid").otherwise("train")).drop("_rank", "_n")
+    n_valid = max(1, int(units.count() * ratio))
+    marked = ranked.withColumn("split", F.when(F.col("_rank") <= n_valid, "valid").otherwise("train")).drop("_rank")
     return rows.join(marked.select(*unit, "split"), list(unit)) if group else marked

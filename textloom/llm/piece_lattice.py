@@ -19,7 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,11 @@ N_BEST = 4
 #: The model's penalty for an uncovered character, below its least usable score; scores below UNUSABLE mark reserved pieces.
 PENALTY, UNUSABLE = 10.0, -1e8
 #: Words kept by the memo of one Python worker.
-MEMO = 500_000
+MEMO = 900_000
 #: Words of one vectorised block, and the longest word in one.
 BLOCK_WORDS, BLOCK_LENGTH = 4096, 40
+#: Slots of each side of the hash table of pieces.
+SLOTS = 1 << 20
 #: Ways to cut texts, finest first; one is used if no piece of the model spans two of its matches.
 _CUTS = (
     re.compile(f"{MARK}*[^{MARK}\\W\\d_²]+|{MARK}*(?:[^{MARK}\n\\w]|[_²])+|{MARK}*\\d+|{MARK}+|\n"),
@@ -46,6 +48,10 @@ def _span_hash(polynomial: np.ndarray, size: int) -> np.ndarray:
     return tokens.mix(polynomial + np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
+def _slot(keys: np.ndarray, side: int) -> np.ndarray:
+    return (keys >> np.uint64(20 * side) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 class Model:
     """Pieces, scores and ids of a .model file."""
 
@@ -70,6 +76,16 @@ class Model:
         order = np.argsort(keys)
         self.span_keys = keys[order]
         self.span_ids, self.span_scores = (np.array([v[k] for v in self.pieces.values()])[order] for k in (0, 1))
+        # Two-choice hash table of the keys; if a key finds both its places taken, bisection serves instead.
+        self.slots, crowded = np.zeros((2, SLOTS), np.int32), []
+        taken = np.zeros((2, SLOTS), bool)
+        for place, (a, b) in enumerate(zip(*[_slot(self.span_keys, k).tolist() for k in (0, 1)], strict=True)):
+            side, slot = (0, a) if not taken[0, a] else (1, b)
+            if taken[side, slot]:
+                crowded.append(place)
+                continue
+            taken[side, slot], self.slots[side, slot] = True, place
+        self.crowded = bool(crowded)
         self.cut = next((c for c in _CUTS if all(len(c.findall(p)) == 1 for p in self.pieces)), None)
 
     @staticmethod
@@ -78,6 +94,15 @@ class Model:
         codes = np.array([ord(c) + 1 for c in piece], np.uint64)
         return _span_hash((codes * power[: len(piece)]).sum(dtype=np.uint64)[None], len(piece))[0]
 
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys among the pieces, and whether they are pieces."""
+        if self.crowded:
+            at = np.minimum(np.searchsorted(self.span_keys, key), len(self.span_keys) - 1)
+            return at, self.span_keys[at] == key
+        at, other = self.slots[0][_slot(key, 0)], self.slots[1][_slot(key, 1)]
+        at = np.where(self.span_keys[at] == key, at, other)
+        return at, self.span_keys[at] == key
+
     def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
         """For each end: (start, score, id) of the nodes that end there; id -1 is an uncovered character."""
         n, pieces, prefixes = len(word), self.pieces, self.prefixes
@@ -161,8 +186,7 @@ class Model:
             for size in range(1, min(deep, wide - i) + 1):
                 live = np.flatnonzero(lengths >= i + size)
                 key = _span_hash((total[live, i + size] - total[live, i]) * inverse[i], size)
-                at = np.minimum(np.searchsorted(self.span_keys, key), len(self.span_keys) - 1)
-                hit = self.span_keys[at] == key
+                at, hit = self._find(key)
                 scores[i, size - 1, live[hit]] = self.span_scores[at[hit]]
                 ids[i, size - 1, live[hit]] = self.span_ids[at[hit]]
         ahead, behind, back = np.full((wide + 1, n), none), np.full((wide + 1, n), none), np.zeros((wide + 1, n), np.int64)
@@ -266,10 +290,12 @@ class Encoder:
             self.gaps.clear()
         cut = [self.words(t) if t else [] for t in texts]
         every = list(chain.from_iterable(cut))
-        missing = list(set(every).difference(memo.place))
-        if missing:
+        at = np.fromiter(map(memo.place.get, every, repeat(-1)), np.int64, len(every))
+        lacking = np.flatnonzero(at < 0).tolist()
+        if lacking:
+            missing = list({every[i] for i in lacking})
             memo.add(missing, self.model.best_many(missing))
-        at = np.fromiter(map(memo.place.__getitem__, every), np.int64, len(every))
+            at[lacking] = [memo.place[every[i]] for i in lacking]
         memo.met += np.bincount(at, minlength=len(memo.met))
         sizes = np.diff(memo.firsts)[at]
         ends = np.cumsum(sizes)

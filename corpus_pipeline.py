@@ -9,6 +9,8 @@ from textloom.llm import ngram_join, piece_lattice, quality_ledger, quality_rank
 from textloom.tables import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies: Jaccard similarity, in percent, on shingles of so many words. op9's 3 and 90 hold for its query only.
+WIDTH, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each component; of rows that repeat an id, one. Rows without an id stay."""
-    found = ngram_join.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id"))
+    found = ngram_join.near_duplicates(docs, WIDTH, PERCENT).filter(F.col("doc_id") == F.col("component_id"))
     keepers = materialize(spark, found.groupBy("doc_id").agg(F.count("*").alias("rows")), "keepers")
     kept = docs.select(*COLUMNS).join(keepers.hint("shuffle_hash"), "doc_id")
     nameless = docs.filter("doc_id IS NULL").select(*COLUMNS)

@@ -53,6 +53,23 @@ def test_deduplication(stages):
     assert _ids(after) == sorted(set(found.values()))
 
 
+def test_deduplication_takes_five_words_and_four_fifths(spark, sf):
+    """One word in 50 changed, or a sixth added: under 90% on three words, over 80% on five."""
+    base = [f"w{i}" for i in range(200)]
+    texts = {1: base, 2: [f"z{i}" if i % 50 == 25 else w for i, w in enumerate(base)], 3: [f"y{i}" for i in range(200)]}
+    texts[4] = texts[3] + [f"x{i}" for i in range(33)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 9) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {w: plain.shingle_sets([(i, " ".join(t)) for i, t in texts.items()], w) for w in (3, 5)}
+    assert set(plain.components(sets[3], 90).values()) == {1, 2, 3, 4} and set(plain.components(sets[5], 80).values()) == {1, 3}
+    assert _ids(pipeline.ngram_deduplication(spark, docs, sf)) == [1, 3]
+
+
+def test_deduplication_at_five_and_eighty(stages):
+    before, after = stages["ngram_deduplication"]
+    found = plain.components(plain.shingle_sets([(r["doc_id"], r["text"]) for r in before.collect()], 5), 80)
+    assert _ids(after) == sorted(set(found.values()))
+
+
 def test_mixing(stages):
     before, after = stages["source_mixing"]
     copies = {r["doc_id"]: r["copies"] for r in source_mix.weighted_fair_mix(before, boundary="whole").collect()}

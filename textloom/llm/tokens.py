@@ -45,6 +45,15 @@ def fold_latin(data: bytes) -> bytes:
     return raw.tobytes()
 
 
+def prefixes(texts: list[bytes], spans: np.ndarray, size: int, fold=bytes.lower) -> np.ndarray:
+    """Hash of the first `size` bytes of every span that words() gave; spans have to be longer. No word has the same hash but by chance."""
+    raw = np.frombuffer(fold(b"\n".join(texts)), np.uint8)
+    hashes = np.full(len(spans), 0x2545F4914F6CDD1D, np.uint64)
+    for k in range(size if len(spans) else 0):
+        hashes = mix(hashes + raw[spans[:, 0] + k])
+    return hashes
+
+
 def words(texts: list[bytes], spaces: np.ndarray = SPACES, fold=bytes.lower) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every folded word of the texts, in order; number of words of each text; the words' byte spans in b"\\n".join(texts)."""
     data = fold(b"\n".join(texts))

@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Vocabulary: terms that the labelled sample ties to label 1 beyond chance (a Chernoff bound on their binomial tail). The
-index holds the sample's documents that have such terms, in blocks; each term keeps its largest weight per block, so that
-blocks whose upper bound cannot reach the k-th best similarity are skipped, without changing the result. Votes are mapped
-to probabilities by isotonic regression on leave-one-out votes of the sample.
-
-The sample, and so vocabulary and index, are bounded (SAMPLE documents, TERMS terms), which is the bound for shipping them.
-
-Defined results: a null or empty text, like any text without a vocabulary term, gets the share of label 1 among such
-documents of the sample and no evidence; ties in similarity go to the lesser doc_id; without labels scores are 0;
-repeated rows score alike; an empty table gives no rows; other columns are not read.
+Every sampled example is indexed with all its terms: folded words, and the STEM leading bytes of longer ones. A term weighs
+(1 + log tf) * idf * tie, tie being the absolute log ratio of its shrunken shares in the examples of label 1 and of label 0
+(supervised TF-IDF; TIE is its floor, so that no term is left out). Weights are not negative, so partial sums bound a
+cosine from below, and partial sums plus the largest weights of a block's examples bound it from above: lists of rare terms
+are read whole, those of frequent terms in order of weight until few examples can still be among the K nearest; these are
+scored from their own vectors. The result is that of scoring every example (tested). Votes of the K nearest, weighted by
+inverse distance, are mapped to probabilities by isotonic regression on votes from FOLDS indexes that lack the voter's fold.
+
+Bounds: the sample has at most SAMPLE labelled documents, which is the bound for shipping the index. True copies in the
+sample (equal term vectors, or a Jaccard similarity of COPY of the terms) are one example, whose label is their mean.
+
+Defined results: a null or empty text, like any text without a term of the index, gets the smoothed share of label 1 among
+such examples and no evidence; ties in similarity go to the lesser doc_id; without labels scores are 0; repeated rows score
+alike; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,24 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import labelled, tokens
-from textloom.tables import materialize
 
-SAMPLE, TERMS = 20_000, 4_096
+SAMPLE = 10_000
 MOD, HELD = 3, 1
 CUT = 0.7
-K, BLOCK = 25, 32
-#: Natural logarithm of the chance below which a term's tie to label 1 counts.
-TAIL = 9.0
-#: Least factor by which a term raises the share of label 1; without it, weak ties of common words would fill the index.
-LIFT = 3.0
+K, BLOCK, FOLDS = 50, 32, 5
+#: Leading bytes of a word that are a term of their own; floor and shrinkage (in examples) of a term's tie to the label.
+STEM, TIE, SHRINK = 6, 0.01, 1.0
+#: Terms of fewer examples are read whole. Frequent terms read at a time, and open examples at which reading stops.
+FREQUENT, STEP, OPEN = 64, 16, 128
+#: Jaccard similarity of copies; minimum hashes of a document, in bands.
+COPY, BANDS, BAND = 0.8, 6, 3
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms (runs of letters and digits, folded) of each text: flat hashes and frequencies; number per text."""
-    hashes, counts, _ = tokens.words(texts, tokens.NOT_ALNUM, tokens.fold_latin)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
+    """Distinct terms of each text: flat hashes and frequencies; number per text."""
+    whole, counts, spans = tokens.words(texts, tokens.NOT_ALNUM, tokens.fold_latin)
+    doc, longer = np.repeat(np.arange(len(texts)), counts), spans[:, 1] - spans[:, 0] > STEM
+    # A word's stem follows the word.
+    at = np.arange(len(whole)) + np.cumsum(longer) - longer
+    hashes = np.zeros(len(whole) + int(longer.sum()), np.uint64)
+    hashes[at], hashes[at[longer] + 1] = whole, tokens.prefixes(texts, spans[longer], STEM, tokens.fold_latin)
+    doc = np.repeat(doc, 1 + longer)
+    tokens.sort_within(hashes, np.bincount(doc, minlength=len(texts)))
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     starts = np.flatnonzero(first)
@@ -48,64 +57,170 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Index:
-    """Postings by term and block: of term t in block b, entries[starts[t, b]:starts[t, b + 1]] are places in the block."""
+class Examples:
+    """Labelled documents: ids, labels (means over copies), and their terms by place in a sorted vocabulary, flat."""
 
-    vocabulary: np.ndarray
-    idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray
-    places: np.ndarray
-    weights: np.ndarray
-    block_max: np.ndarray
-    prior: float = 0.0
-    votes: np.ndarray | None = None
-    shares: np.ndarray | None = None
+    vocabulary: np.ndarray
+    sizes: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+
+    def part(self, keep: np.ndarray) -> Examples:
+        inner = np.repeat(keep, self.sizes)
+        return Examples(self.ids[keep], self.labels[keep], self.vocabulary, self.sizes[keep], self.term[inner], self.tf[inner])
+
+
+def examples(ids: np.ndarray, labels: np.ndarray, hashes: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> Examples:
+    """Examples in order of their ids, copies merged under the least id."""
+    vocabulary, term = np.unique(hashes, return_inverse=True)
+    group, ends = copies(vocabulary, term.astype(np.int64), sizes), np.cumsum(sizes)
+    kept = np.flatnonzero(group == np.arange(len(ids)))
+    share = np.bincount(group, labels, len(ids)) / np.maximum(np.bincount(group, minlength=len(ids)), 1)
+    inner = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in kept]) if len(kept) else np.zeros(0, np.int64)
+    return Examples(ids[kept], share[kept], vocabulary, sizes[kept], term[inner].astype(np.int32), tf[inner].astype(np.float32))
+
+
+def copies(vocabulary: np.ndarray, term: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each document the first one that it is a copy of, or itself. Documents without terms are no copies."""
+    group, ends = np.arange(len(sizes)), np.cumsum(sizes)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return group
+    least = np.stack([np.minimum.reduceat(tokens.mix(vocabulary ^ np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[term], (ends - sizes)[some]) for k in range(BANDS * BAND)], 1)
+    for b in range(BANDS):
+        first: dict[bytes, int] = {}
+        for i, band in zip(some.tolist(), np.ascontiguousarray(least[:, b * BAND : (b + 1) * BAND]), strict=True):
+            j = first.setdefault(band.tobytes(), i)
+            if j == i or group[i] != i:
+                continue
+            one, other = (term[ends[x] - sizes[x] : ends[x]] for x in (i, j))
+            shared = len(np.intersect1d(one, other, assume_unique=True))
+            if shared >= COPY * (len(one) + len(other) - shared):
+                group[i] = group[j]
+    return group
+
+
+def term_weights(e: Examples) -> np.ndarray:
+    """idf times tie to the label, of each term of the vocabulary; 0 where no example has the term."""
+    n, n1 = len(e.ids), float(e.labels.sum())
+    df = np.bincount(e.term, minlength=len(e.vocabulary)).astype(float)
+    a = np.bincount(e.term, np.repeat(e.labels, e.sizes), len(e.vocabulary))
+    tie = np.ones(len(df))
+    if 0 < n1 < n:
+        p1 = (a + SHRINK * n1 / n) / (n1 + SHRINK)
+        p0 = (np.maximum(df - a, 0) + SHRINK * (n - n1) / n) / (n - n1 + SHRINK)
+        tie = TIE + np.abs(np.log(p1 / p0))
+    return np.where(df > 0, np.log(1 + n / np.maximum(df, 1)) * tie, 0)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Index:
+    """Postings by term, vectors by example, and the largest weight of each frequent term in each block of examples."""
+
+    def __init__(self, e: Examples):
+        self.vocabulary, self.weight = e.vocabulary, term_weights(e)
+        row = np.repeat(np.arange(len(e.ids)), e.sizes)
+        w = (1 + np.log(e.tf)) * self.weight[e.term]
+        w /= np.sqrt(np.maximum(np.bincount(row, w * w, len(e.ids)), 1e-24))[row]
+        bare = e.sizes == 0
+        share = float(e.labels.mean()) if len(e.ids) else 0.0
+        self.share, self.prior = share, float((e.labels[bare].sum() + 10 * share) / (bare.sum() + 10))
+        # Like examples share blocks, which tightens the blocks' bounds: order by heaviest term.
+        heaviest, used = np.zeros(len(e.ids), np.int64), np.flatnonzero(~bare)
+        by_weight = np.lexsort((-w, row))
+        heaviest[used] = e.term[by_weight[(np.cumsum(e.sizes) - e.sizes)[used]]]
+        order = used[np.lexsort((e.ids[used], heaviest[used]))]
+        place = np.zeros(len(e.ids), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.labels, self.n_blocks = e.ids[order], e.labels[order], -(-len(order) // BLOCK)
+        at = np.lexsort((place[row], e.term))
+        self.example, self.posting = place[row][at].astype(np.int32), w[at].astype(np.float32)
+        self.df = np.bincount(e.term, minlength=len(self.vocabulary))
+        self.start = np.cumsum(self.df) - self.df
+        frequent = np.flatnonzero(self.df >= FREQUENT)
+        self.rank = np.full(len(self.vocabulary), -1, np.int32)
+        self.rank[frequent] = np.arange(len(frequent))
+        self.block_max = np.zeros((len(frequent), self.n_blocks), np.float32)
+        inner = self.rank[e.term[at]] >= 0
+        np.maximum.at(self.block_max, (self.rank[e.term[at][inner]], self.example[inner] // BLOCK), self.posting[inner])
+        # Each example's frequent terms.
+        inner = np.flatnonzero(self.rank[e.term] >= 0)
+        inner = inner[np.lexsort((e.term[inner], place[row[inner]]))]
+        self.own_rank, self.own_weight = self.rank[e.term[inner]], w[inner].astype(np.float32)
+        self.own_size = np.bincount(place[row[inner]], minlength=len(order))
+        self.own_start = np.cumsum(self.own_size) - self.own_size
+        self.heaviest = self.block_max.max(1, initial=0)
+        self.votes = self.shares = np.zeros(0)
 
     def vector(self, hashes: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary places and unit-length TF-IDF weights of a text's terms."""
+        """Vocabulary places and unit-length weights of a text's terms; terms that no example has are left out."""
         if not len(self.vocabulary):
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         hit = self.vocabulary[at] == hashes
-        w = (1 + np.log(tf[hit])) * self.idf[at[hit]]
-        return at[hit], w / max(np.sqrt((w * w).sum()), 1e-12)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k best documents with a positive cosine; row `without` is left out."""
-        bounds = w @ self.block_max[at]
-        rows, sims, limit = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(rows) >= k and bounds[b] < limit - 1e-9:
+        return self.unit(at[hit], tf[hit])
+
+    def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.weight[at]
+        some = w > 0
+        at, w = at[some], w[some]
+        return at, w / max(np.sqrt((w * w).sum()), 1e-12)
+
+    def _read(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.zeros(self.n_blocks * BLOCK)
+        sizes = self.df[at]
+        flat = _ranges(self.start[at], sizes)
+        return np.bincount(self.example[flat], np.repeat(w, sizes) * self.posting[flat], self.n_blocks * BLOCK)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and similarities of the k best examples with a positive cosine, best first."""
+        rank = self.rank[at]
+        sums = self._read(at[rank < 0], w[rank < 0])
+        common, wide = at[rank >= 0], w[rank >= 0]
+        order = np.argsort(-wide * self.heaviest[self.rank[common]], kind="stable")
+        common, wide = common[order], wide[order].astype(np.float32)
+        maxima, read = self.block_max[self.rank[common]], 0
+        while True:
+            rest = wide[read:] @ maxima[read:]
+            least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+            upper = (sums.reshape(-1, BLOCK) + rest[:, None]).ravel()
+            open_ = np.flatnonzero(upper >= max(least - 1e-6, 1e-12))
+            if read >= len(common) or len(open_) <= max(OPEN, k):
                 break
-            own = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                own[self.places[s:e]] += x * self.weights[s:e]
-            if b == without // BLOCK and without >= 0:
-                own[without % BLOCK] = 0
-            found = np.flatnonzero(own > 0)
-            rows, sims = np.append(rows, b * BLOCK + found), np.append(sims, own[found])
-            if len(rows) > k:
-                keep = np.lexsort((self.ids[rows], -np.round(sims, 9)))[:k]
-                rows, sims = rows[keep], sims[keep]
-            if len(rows) >= k:
-                limit = sims.min()
-        order = np.lexsort((self.ids[rows], -np.round(sims, 9)))
-        return rows[order], sims[order]
+            sums += self._read(common[read : read + STEP], wide[read : read + STEP])
+            read += STEP
+        open_ = open_[open_ < len(self.ids)]
+        sims = sums[open_]
+        if read < len(common) and len(open_):
+            unread = np.zeros(len(self.heaviest), np.float32)
+            unread[self.rank[common[read:]]] = wide[read:]
+            sizes = self.own_size[open_]
+            flat = _ranges(self.own_start[open_], sizes)
+            sims = sims + np.bincount(np.repeat(np.arange(len(open_)), sizes), unread[self.own_rank[flat]] * self.own_weight[flat], len(open_))
+        some = sims > 0
+        rows, sims = open_[some], sims[some]
+        best = np.lexsort((self.ids[rows], -np.round(sims, 6)))[:k]
+        return rows[best], sims[best]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        """Share of label 1, each neighbour weighing the inverse of its distance; one further vote for the prior."""
+        """Share of label 1, each neighbour weighing the inverse of its distance; one further vote for the share of all."""
         weight = 1 / (1.05 - np.minimum(sims, 1))
-        return float(((weight * self.labels[rows]).sum() + self.prior) / (weight.sum() + 1))
+        return float(((weight * self.labels[rows]).sum() + self.share) / (weight.sum() + 1))
 
     def score(self, at: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(at):
-            return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        rows, sims = self.nearest(at, w, K)
+        rows, sims = self.nearest(at, w, K) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
+        if not len(rows):
+            return self.prior, rows, sims
         vote = self.vote(rows, sims)
-        return float(np.interp(vote, self.votes, self.shares)) if self.votes is not None and len(self.votes) else vote, rows, sims
+        return float(np.interp(vote, self.votes, self.shares)) if len(self.votes) else vote, rows, sims
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,30 +236,22 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def build(vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-    """Index over documents (their terms' hashes and frequencies); documents without vocabulary terms only count for the prior."""
-    index = Index(vocabulary, idf, ids, labels, np.zeros((len(vocabulary), 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(vocabulary), 0)))
-    vectors = [index.vector(*d) for d in docs]
-    empty = np.array([not len(v[0]) for v in vectors], bool)
-    index.prior = float((labels[empty].sum() + 0.1) / (empty.sum() + 10)) if len(labels) else 0.0
-    # Like documents share blocks, which tightens the blocks' bounds.
-    use = sorted(np.flatnonzero(~empty).tolist(), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(ids[i])))
-    index.ids, index.labels = ids[use], labels[use]
-    n_blocks = -(-len(use) // BLOCK)
-    row = np.repeat(np.arange(len(use)), [len(vectors[i][0]) for i in use]).astype(np.int64)
-    term = np.concatenate([vectors[i][0] for i in use]) if use else np.zeros(0, np.int64)
-    weight = np.concatenate([vectors[i][1] for i in use]) if use else np.zeros(0)
-    order = np.lexsort((row, term))
-    row, term, weight = row[order], term[order], weight[order]
-    cell = term * n_blocks + row // BLOCK
-    edges = np.searchsorted(cell, np.arange(len(vocabulary) * n_blocks + 1))
-    index.starts = np.stack([edges[t * n_blocks : t * n_blocks + n_blocks + 1] for t in range(len(vocabulary))]) if len(vocabulary) else index.starts
-    index.places, index.weights = row % BLOCK, weight
-    index.block_max = np.zeros((len(vocabulary), n_blocks))
-    np.maximum.at(index.block_max, (term, row // BLOCK), weight)
-    if use:
-        alone = [index.nearest(*vectors[i], K, without=k) for k, i in enumerate(use)]
-        index.votes, index.shares = isotonic(np.array([index.vote(*a) for a in alone]), index.labels.astype(float))
+def build(e: Examples) -> Index:
+    """Index of all examples, calibrated on votes for each fold by the others."""
+    index = Index(e)
+    fold = (tokens.mix(e.ids.astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
+    votes = np.full(len(e.ids), np.nan)
+    for f in range(FOLDS) if 0 < e.labels.sum() < len(e.ids) else ():
+        others, own = Index(e.part(fold != f)), np.flatnonzero(fold == f)
+        starts = np.cumsum(e.sizes) - e.sizes
+        for i in own.tolist():
+            s = slice(starts[i], starts[i] + e.sizes[i])
+            rows, sims = others.nearest(*others.unit(e.term[s], e.tf[s]), K) if e.sizes[i] and len(others.ids) else ([], [])
+            if len(rows):
+                votes[i] = others.vote(rows, sims)
+    known = ~np.isnan(votes)
+    if known.any():
+        index.votes, index.shares = isotonic(votes[known], e.labels[known].astype(float))
     return index
 
 
@@ -152,47 +259,19 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in tokens.text_batches(batches):
         hashes, tf, counts = terms(texts)
         ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        least = [int(x.min()) if len(x) else 0 for x in np.split(tokens.mix(hashes).view(np.int64), np.cumsum(counts)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(least, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["doc_id", "label", "kin", "terms", "tf"])
-
-
-def _vocabulary_rows(vocabulary: np.ndarray):
-    """Keep the vocabulary's terms only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, tf = batch.column("terms"), batch.column("tf")
-            hit = np.isin(found.flatten().to_numpy().view(np.uint64), vocabulary)
-            ends = np.concatenate([[0], np.cumsum(hit)])[found.offsets.to_numpy() - found.offsets[0].as_py()].astype(np.int32)
-            keep = pa.array(hit, pa.bool_())
-            lists = [pa.ListArray.from_arrays(pa.array(ends), x.flatten().filter(keep)) for x in (found, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "tf"])
-
-    return run
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes.view(np.int64), tf.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "tf"])
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_terms: int = TERMS) -> Index:
-    spark = docs.sparkSession
-    tokens.bound_batches(spark)
-    sample = labelled.sample(docs, labels, "toxic", MOD, HELD, size).select("doc_id", "label", "text").mapInArrow(_term_rows, "doc_id bigint, label int, kin bigint, terms array<bigint>, tf array<int>")
-    sample = materialize(spark, sample, "toxic-sample")
-    # Near copies would make their common words look tied to a label: documents with the same least hash count once.
-    kin = sample.groupBy("kin").agg(F.max("label").alias("label"), F.count("*").alias("docs"))
-    size_of = kin.agg(F.count("*").alias("n"), F.sum("label").alias("a"), F.sum("docs").alias("docs")).head()
-    n, docs_n, share = size_of["n"], size_of["docs"] or 0, (size_of["a"] or 0) / max(size_of["n"], 1)
-    if not n or not 0 < share < 1:
-        return build(np.zeros(0, np.uint64), np.zeros(0), np.zeros(docs_n, np.int64), np.full(docs_n, int(share)), [(np.zeros(0, np.uint64), np.zeros(0))] * docs_n)
-    counted = sample.select("kin", "label", F.explode("terms").alias("t")).groupBy("t", "kin").agg(F.max("label").alias("label")).groupBy("t").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
-    rate = F.col("a") / F.col("n")
-    surprise = F.col("a") * F.log(rate / share) + F.when(F.col("a") < F.col("n"), (F.col("n") - F.col("a")) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    chosen = counted.filter((rate > min(LIFT * share, (1 + share) / 2)) & (F.col("n") < n)).withColumn("s", surprise).filter(F.col("s") > TAIL).orderBy(F.desc("s"), "t").limit(most_terms).toArrow()
-    hashes = chosen.column("t").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    vocabulary = hashes[order]
-    idf = np.log(1 + n / chosen.column("n").to_numpy()[order])
-    rows = sample.select("doc_id", "label", "terms", "tf").mapInArrow(_vocabulary_rows(vocabulary), "doc_id bigint, label int, terms array<bigint>, tf array<int>").toArrow()
-    rows = sorted(zip(*[rows.column(c).to_pylist() for c in ("doc_id", "label", "terms", "tf")], strict=True))
-    return build(vocabulary, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [(np.array(r[2], np.int64).view(np.uint64), np.array(r[3], float)) for r in rows])
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Index:
+    tokens.bound_batches(docs.sparkSession)
+    sample = labelled.sample(docs, labels, "toxic", MOD, HELD, size).select("doc_id", "label", "text")
+    rows = sample.mapInArrow(_term_rows, "doc_id bigint, label int, terms array<bigint>, tf array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return build(examples(*[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2))
+    ids, label = (rows.column(c).to_numpy() for c in ("doc_id", "label"))
+    terms_, tf = (rows.column(c).combine_chunks() for c in ("terms", "tf"))
+    return build(examples(ids, label, terms_.flatten().to_numpy().view(np.uint64), tf.flatten().to_numpy(), terms_.value_lengths().to_numpy().astype(np.int64)))
 
 
 def _score_rows(shipped):
@@ -202,19 +281,15 @@ def _score_rows(shipped):
         index: Index = shipped.value
         for batch, texts in tokens.text_batches(batches):
             hashes, tf, counts = terms(texts)
-            ends = np.concatenate([[0], np.cumsum(counts)])
+            ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
             at = np.minimum(np.searchsorted(index.vocabulary, hashes), max(len(index.vocabulary) - 1, 0))
             hit = index.vocabulary[at] == hashes if len(index.vocabulary) else np.zeros(len(hashes), bool)
-            some = np.concatenate([[0], np.cumsum(hit)])[ends]
             out = []
             for i in range(len(texts)):
-                if some[i + 1] > some[i]:
-                    s = slice(ends[i], ends[i + 1])
-                    value, rows, sims = index.score(*index.vector(hashes[s], tf[s].astype(float)))
-                    out.append((value, index.ids[rows[:3]].tolist(), index.labels[rows[:3]].tolist(), sims[:3].tolist()))
-                else:
-                    out.append((index.prior, [], [], []))
-            types = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+                s = slice(ends[i], ends[i + 1])
+                value, rows, sims = index.score(*index.unit(at[s][hit[s]], tf[s][hit[s]]))
+                out.append((value, index.ids[rows[:3]].tolist(), index.labels[rows[:3]].tolist(), sims[:3].tolist()))
+            types = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names)
 
     return run
@@ -223,5 +298,5 @@ def _score_rows(shipped):
 def op10_toxic_neighbours(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract columns, then the three nearest examples as evidence."""
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    scored = docs.select("doc_id", "text").mapInArrow(_score_rows(shipped), "doc_id bigint, score double, evidence_ids array<bigint>, evidence_labels array<int>, evidence_similarity array<double>")
+    scored = docs.select("doc_id", "text").mapInArrow(_score_rows(shipped), "doc_id bigint, score double, evidence_ids array<bigint>, evidence_labels array<double>, evidence_similarity array<double>")
     return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), MOD) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence_ids", "evidence_labels", "evidence_similarity")

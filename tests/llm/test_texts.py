@@ -183,7 +183,7 @@ def test_texts_encode_and_decode():
     for text, (ids, score, tops) in zip(texts, coder.encode(texts), strict=True):
         assert coder.model.decode(ids.tolist()) == text.encode()
         whole = coder.nbest(text)
-        assert [s for s, _ in whole] == pytest.approx(tops) and whole[0][0] == pytest.approx(score)
+        assert [s for s, _ in whole] == pytest.approx([t for t, _ in tops]) and whole[0][0] == pytest.approx(score)
         assert all(coder.model.decode(x) == text.encode() for _, x in whole)
 
 
@@ -196,3 +196,50 @@ def test_library_agrees_on_pieces():
         ids = next(coder.encode([text]))[0].tolist()
         assert library.decode(ids) == text or "\x00" in text
         assert set(ids) <= set(range(library.get_piece_size()))
+
+
+def test_one_tie_rule_on_all_paths():
+    """Blocks, single words and A* pick the same ids, whatever the words' length and characters."""
+    coder, r = piece_lattice.Encoder(registry.PIECES), random.Random(3)
+    words = ["▁Llll", ".%%%", "%%%", "$$$$", "▁aaaaaaa", "lllllllllll"] + ["▁" * r.randrange(2) + "".join(r.choices("aelrtn%$.#", k=r.randint(1, 14))) for _ in range(3000)]
+    words = sorted(set(words))
+    many = coder.model.best_many(words)
+    for word, (score, ids, _) in zip(words, many, strict=True):
+        assert (score, ids) == coder.model.best(word)[:2], word
+        assert (score, ids) == coder.model.nbest(word, 3)[0], word
+    # The same characters inside a word that takes the other path.
+    long = "x" * 39
+    assert coder.model.best_many(["%%%%%", long + "%%%"])[1][1] == coder.model.best(long + "%%%")[1]
+
+
+def test_edits_are_the_n_best_of_the_text(spark):
+    coder = piece_lattice.Encoder(registry.PIECES)
+    texts = ["one two three", "Llll %%% lllll", "a", "né 日本 ☃", "the end. " * 30, ""]
+    for text, (ids, score, tops) in zip(texts, coder.encode(texts), strict=True):
+        whole = coder.nbest(text)
+        assert [t for t, _ in tops] == pytest.approx([s for s, _ in whole]) and tops[0] == (score, [])
+        made = [piece_lattice.Edit.apply(e, ids).tolist() for _, e in tops]
+        assert made[0] == ids.tolist() == whole[0][1] and len(set(map(tuple, made))) == len(made)
+        own = {tuple(s): round(t, 6) for t, s in coder_all(coder, text)}
+        for m, (t, edits) in zip(made, tops, strict=True):
+            assert own[tuple(m)] == round(t, 6)
+            assert coder.model.decode(m) == coder.model.decode(ids.tolist()) and all(e.same for e in edits)
+    rows = piece_lattice.encode_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), registry.PIECES).collect()
+    for row in rows:
+        best = np.array(row["piece_ids"], np.int32)
+        assert len(row["nbest_edits"]) == len(row["nbest_scores"]) == len(row["nbest_sha256"]) and row["round_trip"]
+        for edits, digest in zip(row["nbest_edits"], row["nbest_sha256"], strict=True):
+            made = piece_lattice.Edit.apply([piece_lattice.Edit(e["first"], e["size"], tuple(e["ids"]), True) for e in edits], best)
+            assert hashlib.sha256(made.tobytes()).hexdigest() == digest
+
+
+def coder_all(coder, text):
+    """Segmentations of a text whose words have one of their own sixteen best, one or two words changed."""
+    words = coder.words(text) if text else []
+    lists = [coder.model.nbest(w, 16) for w in words]
+    best = [x[0] for x in lists]
+    changes = [(w, k) for w, x in enumerate(lists) for k in range(1, len(x))]
+    for some in [(), *[(c,) for c in changes], *[(a, b) for a in changes for b in changes if a[0] < b[0]][:40_000]]:
+        pick = {w: lists[w][k] for w, k in some}
+        chosen = [pick.get(w, b) for w, b in enumerate(best)]
+        yield sum(s for s, _ in chosen), [i for _, x in chosen for i in x]

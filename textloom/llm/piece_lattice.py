@@ -9,8 +9,9 @@ punctuation, a word and the mark after it, line ends), the lattice has a cut; th
 only in the N - 1 words whose second-best segmentation costs least, so A* runs for those words alone.
 
 Defined results: a null or empty text has no pieces, score 0 and decodes to itself; texts with the mark U+2581 decode to
-spaces in its place (round_trip false), as in the format itself; equal scores come in a fixed order; repeated rows are
-encoded alike; an empty table gives no rows; other columns are not read.
+spaces in its place (round_trip false), as in the format itself; of equal scores the best segmentation has the longest last
+piece, then the longest before it, on every path of this module, and further ones follow by the words they change, from the
+left; repeated rows are encoded alike; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
@@ -192,9 +194,10 @@ class Model:
         ahead, behind, back = np.full((wide + 1, n), none), np.full((wide + 1, n), none), np.zeros((wide + 1, n), np.int64)
         ahead[0], behind[lengths, every] = 0, 0
         for j in range(1, wide + 1):
-            reach = np.stack([ahead[j - size] + scores[j - size, size - 1] for size in range(1, min(j, deep) + 1)])
-            back[j] = reach.argmax(0) + 1
-            ahead[j] = reach[back[j] - 1, every]
+            most = min(j, deep)
+            reach = np.stack([ahead[j - size] + scores[j - size, size - 1] for size in range(most, 0, -1)])
+            place = reach.argmax(0)
+            back[j], ahead[j] = most - place, reach[place, every]
         second = np.full(n, none)
         places, steps = lengths.copy(), []
         used = np.zeros((wide, deep, n), bool)
@@ -223,7 +226,8 @@ class Model:
         ahead = [0.0] + [float("-inf")] * size
         for j in range(1, size + 1):
             ahead[j] = max(ahead[i] + s for i, s, _ in ends[j])
-        queue: list = [(-ahead[size], 0, size, 0.0, None)]  # of equal scores the newest comes first: straight to the start of the word
+        # Of equal scores the newest comes first, and nodes are pushed shortest first: straight to the start by longest pieces.
+        queue: list = [(-ahead[size], 0, size, 0.0, None)]
         out, pushed = [], 0
         while queue and len(out) < n:
             _, _, j, held, path = heapq.heappop(queue)
@@ -234,7 +238,7 @@ class Model:
                     path = path[1]
                 out.append((held, self.ids_of(word, whole)))
                 continue
-            for i, s, k in ends[j]:
+            for i, s, k in reversed(ends[j]):
                 pushed -= 1
                 heapq.heappush(queue, (-(held + s + ahead[i]), pushed, i, held + s, ((i, j, k), path)))
         return out
@@ -270,24 +274,43 @@ class Memo:
         self.place = dict(zip(words, range(len(words)), strict=True))
 
 
+@dataclass(frozen=True)
+class Edit:
+    """`size` ids from place `first` of the best segmentation are replaced by `ids`; whether the text stays the same."""
+
+    first: int
+    size: int
+    ids: tuple[int, ...]
+    same: bool
+
+    @staticmethod
+    def apply(edits: list[Edit], best: np.ndarray) -> np.ndarray:
+        """Ids of a segmentation from those of the best; edits come in order of their places."""
+        parts, at = [], 0
+        for e in edits:
+            parts += [best[at : e.first], np.array(e.ids, best.dtype)]
+            at = e.first + e.size
+        return np.concatenate([*parts, best[at:]])
+
+
 class Encoder:
     def __init__(self, path: str, n: int = N_BEST):
         self.model, self.n = Model(path), n
         self.memo = Memo()
-        self.gaps: dict[str, list[float]] = {}
+        self.others: dict[str, list[tuple[float, tuple[int, ...], bool]]] = {}
 
     def words(self, text: str) -> list[str]:
         marked = MARK + text.replace(" ", MARK)
         return self.model.cut.findall(marked) if self.model.cut else [marked]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[float]]]:
-        """For each text: ids and score of the best segmentation, and the scores of the n best."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[tuple[float, list[Edit]]]]]:
+        """For each text: ids and score of the best segmentation, and the n best as scores and edits of the best one's ids."""
         memo = self.memo
         if len(memo.place) > MEMO:
             memo.shrink()
             if len(memo.place) > MEMO // 2:
                 memo.__init__()
-            self.gaps.clear()
+            self.others.clear()
         cut = [self.words(t) if t else [] for t in texts]
         every = list(chain.from_iterable(cut))
         at = np.fromiter(map(memo.place.get, every, repeat(-1)), np.int64, len(every))
@@ -305,31 +328,46 @@ class Encoder:
         for words in cut:
             here = slice(done, done + len(words))
             score = float(scores[here].sum())
-            yield ids[stops[done] : stops[done + len(words)]], score, self.tops(words, costs[here], score)
+            firsts = stops[done : done + len(words) + 1] - stops[done]
+            yield ids[stops[done] : stops[done + len(words)]], score, self.tops(words, costs[here], score, firsts)
             done += len(words)
 
-    def tops(self, words: list[str], costs: np.ndarray, score: float) -> list[float]:
-        """Scores of the n best: only the words with the n - 1 least costs of a second-best segmentation can differ."""
-        near = np.argpartition(costs, self.n - 2)[: self.n - 1] if len(costs) >= self.n > 1 else np.arange(len(costs))
-        tops = [0.0]
-        for w in near[np.isfinite(costs[near])].tolist() if self.n > 1 else []:
-            gaps = self.gaps.get(words[w])
-            if gaps is None:
-                own = self.model.nbest(words[w], self.n)
-                gaps = self.gaps[words[w]] = [s - own[0][0] for s, _ in own]
-            tops = sorted((a + g for a in tops for g in gaps), reverse=True)[: self.n]
-        return [score + t for t in tops]
+    def alternatives(self, word: str) -> list[tuple[float, tuple[int, ...], bool]]:
+        """What a word's n best segmentations cost, their ids, and whether they decode to the same text as the best."""
+        found = self.others.get(word)
+        if found is None:
+            own = self.model.nbest(word, self.n)
+            text = [b"".join(map(self.model.raw.__getitem__, i)) for _, i in own]
+            found = self.others[word] = [(s - own[0][0], i, t == text[0]) for (s, i), t in zip(own, text, strict=True)]
+        return found
+
+    def tops(self, words: list[str], costs: np.ndarray, score: float, firsts: np.ndarray) -> list[tuple[float, list[Edit]]]:
+        """Scores and edits of the n best: only the n - 1 words with the least costs of a second-best segmentation can differ."""
+        some = np.flatnonzero(np.isfinite(costs))
+        if len(some) >= self.n > 1:
+            some = some[costs[some] <= np.partition(costs[some], self.n - 2)[self.n - 2]]
+        near = np.sort(some[np.argsort(costs[some], kind="stable")[: self.n - 1]]).tolist()
+        tops: list[tuple[float, list[Edit]]] = [(0.0, [])]
+        for w in near:
+            edits = [(gap, [Edit(int(firsts[w]), int(firsts[w + 1] - firsts[w]), ids, same)] if k else []) for k, (gap, ids, same) in enumerate(self.alternatives(words[w]))]
+            tops = sorted(((a + gap, x + e) for a, x in tops for gap, e in edits), key=lambda t: -t[0])[: self.n]
+        return [(score + t, e) for t, e in tops]
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text, by A* over its words' own n best."""
         lists = [self.model.nbest(w, self.n) for w in self.words(text)] if text else []
         tops: list[tuple[float, list[int]]] = [(0.0, [])]
         for own in lists:
-            tops = sorted(((a + s, x + list(i)) for a, x in tops for s, i in own), key=lambda t: (-t[0], t[1]))[: self.n]
+            tops = sorted(((a + s, x + list(i)) for a, x in tops for s, i in own), key=lambda t: -t[0])[: self.n]
         return tops
 
 
-_SCHEMA = "n_bytes bigint, n_pieces bigint, piece_ids array<int>, ids_sha256 string, best_score double, nbest_scores array<double>, decoded_sha256 string, round_trip boolean"
+_SCHEMA = (
+    "n_bytes bigint, n_pieces bigint, piece_ids array<int>, ids_sha256 string, best_score double, nbest_scores array<double>, nbest_sha256 array<string>, "
+    "nbest_edits array<array<struct<first:int,size:int,ids:array<int>>>>, decoded_sha256 string, round_trip boolean"
+)
+_EDITS = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+_NAMES = ("n_bytes", "n_pieces", "piece_ids", "ids_sha256", "best_score", "nbest_scores", "nbest_sha256", "nbest_edits", "decoded_sha256", "round_trip")
 _workers: dict[tuple[str, int], Encoder] = {}
 
 
@@ -337,27 +375,29 @@ def _encode_rows(path: str, n: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _workers.get((path, n)) or _workers.setdefault((path, n), Encoder(path, n))
         for batch, texts in tokens.text_batches(batches):
-            size, ids, sha, best, scores, decoded, same = [], [], [], [], [], [], []
+            ids, rows = [], []
             decoded_texts = [x.decode("utf-8", "replace") for x in texts]
             for text, (array, score, tops) in zip(texts, coder.encode(decoded_texts), strict=True):
                 back = coder.model.decode(array.tolist())
-                size.append(len(text))
+                digest = hashlib.sha256(array.tobytes()).hexdigest()
+                digests = [hashlib.sha256(Edit.apply(e, array).tobytes()).hexdigest() if e else digest for _, e in tops]
+                edits = [[{"first": e.first, "size": e.size, "ids": e.ids} for e in es] for _, es in tops]
+                same = back == text and all(e.same for _, es in tops for e in es)
                 ids.append(array)
-                sha.append(hashlib.sha256(array.tobytes()).hexdigest())
-                best.append(score)
-                scores.append(tops)
-                decoded.append(hashlib.sha256(back).hexdigest())
-                same.append(back == text)
+                rows.append((len(text), len(array), digest, score, [t for t, _ in tops], digests, edits, hashlib.sha256(back).hexdigest(), same))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            own = [pa.array(size, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(sha), pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(decoded), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *own], [*keys, *[f.split()[0] for f in _SCHEMA.split(", ")]])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), _EDITS, pa.string(), pa.bool_())
+            own = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+            own.insert(2, lists)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *own], [*keys, *_NAMES])
 
     return run
 
 
 def encode_table(docs: DataFrame, model: str, n: int = N_BEST, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys and text -> keys, piece ids of the best segmentation, scores of the n best, digests of ids and of the decoded text."""
+    """keys and text -> keys, piece ids of the best segmentation; of each of the n best its score, the digest of its ids and
+    the edits that make it from the best; digest of the decoded text, and whether all segmentations decode to the text."""
     tokens.bound_batches(docs.sparkSession)
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return docs.select(*keys, "text").mapInArrow(_encode_rows(model, n, list(keys)), f"{fields}, {_SCHEMA}")

@@ -117,8 +117,121 @@ def test_seating_matches_the_process():
                 sizes[k] += 1
         seen.append(len(sizes))
     assert abs(block.mean() - np.mean(seen[200:])) < 0.25
-    many = pitman_yor.draw_tables(np.full(500, 100_000), np.full(500, 50), np.full(500, 0.01), 0.5, 1.0, pitman_yor.stirling(0.5), rng)
-    assert (many >= 1).all() and (many < 100_000).all() and many.mean() > 2
+    # With ever more customers, tables but the first follow a negative binomial distribution.
+    many = pitman_yor.draw_tables(np.full(4000, 100_000), np.full(4000, 50), np.full(4000, 0.01), 0.5, 1.0, pitman_yor.stirling(0.5), rng)
+    assert (many >= 1).all() and many.mean() == pytest.approx(1 + 0.01 / 0.99 * (1 / 0.5 + 50 + 1), abs=0.05)
+
+
+def hpy(train, tests, discount, discount0, strength, sweeps, rng):
+    """log10 probabilities of texts by Gibbs sampling of one customer at a time, averaged over sweeps."""
+    seqs = [[*t.split(), None] for t in train]
+    vocabulary = len({w for s in seqs for w in s})
+    places: dict = {}  # (context, word) -> sizes of its tables
+    base: dict = {}  # word -> sizes of its tables in the parent
+
+    def sit(tables, p):
+        weights = [n - d for n in tables] + [p]
+        k = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def parent(w):
+        all_n, all_t, own = sum(map(sum, base.values())), sum(map(len, base.values())), base.get(w, [])
+        return (sum(own) - discount0 * len(own) + (strength + discount0 * all_t) / (vocabulary + 1)) / (strength + all_n)
+
+    def restaurant(u):
+        return [x for (a, _), x in places.items() if a == u]
+
+    customers = [(s[k - 1] if k else "<s>", s[k]) for s in seqs for k in range(len(s))]
+    totals = {}
+    for sweep in range(sweeps):
+        for u, w in customers:
+            own = places.setdefault((u, w), [])
+            if sweep and leave(own) and leave(base[w]) and not base[w]:
+                del base[w]
+            d = discount
+            if sit(own, (strength + discount * sum(map(len, restaurant(u)))) * parent(w)):
+                d = discount0
+                sit(base.setdefault(w, []), (strength + discount0 * sum(map(len, base.values()))) / (vocabulary + 1))
+        if sweep >= sweeps // 4:
+            for i, t in tests:
+                seq = ["<s>", *t.split(), None]
+                for k in range(1, len(seq)):
+                    u, w = seq[k - 1], seq[k]
+                    all_n, all_t, own = sum(map(sum, restaurant(u))), sum(map(len, restaurant(u))), places.get((u, w), [])
+                    p = (sum(own) - discount * len(own) + (strength + discount * all_t) * parent(w)) / (strength + all_n)
+                    totals.setdefault((i, k), []).append(p)
+    return {i: sum(math.log10(np.mean(totals[i, k])) for k in range(1, len(t.split()) + 2)) for i, t in tests}
+
+
+def test_scores_match_customer_by_customer_sampling(spark):
+    r = random.Random(8)
+    train = [(10 * k + 1, " ".join(r.choices("abcdefgh", [9, 6, 4, 3, 2, 1, 1, 1], k=r.randint(3, 12)))) for k in range(14)]
+    tests = [(1000, "a b a"), (1001, "h h c"), (1002, "zz a"), (1003, "")]
+    docs = spark.createDataFrame([(i, i >= 1000, t) for i, t in train + tests], "doc_id long, held_out boolean, text string")
+    ours = {x["doc_id"]: x["score"] for x in pitman_yor.score_texts(docs, burn_in=4, samples=12).collect()}
+    seqs = [["<s>", *t.split(), None] for _, t in train]
+    pairs = Counter(p for s in seqs for p in zip(s, s[1:]))
+    first = Counter(w for _, w in pairs)
+    ney = lambda n: min(max(sum(v == 1 for v in n.values()) / max(sum(v == 1 for v in n.values()) + 2 * sum(v == 2 for v in n.values()), 1), 0.1), 0.95) if any(v == 1 for v in n.values()) else 0.5
+    # Customers of the parent to begin with: one table for each pair.
+    theirs = hpy([t for _, t in train], tests, ney(pairs), ney(first), pitman_yor.STRENGTH, 60, np.random.default_rng(0))
+    for i, t in tests:
+        assert ours[i] == pytest.approx(theirs[i], abs=0.06 * (len(t.split()) + 1)), (i, ours[i], theirs[i])
+
+
+def test_held_out_rows_move_nothing(spark):
+    r = random.Random(4)
+    rows = [(i, False, " ".join(r.choices(["a", "b", "c", "rare", "x1", "x2"], k=12))) for i in range(20)]
+    schema = "doc_id long, held_out boolean, text string"
+    alone = {x["doc_id"]: x["score"] for x in pitman_yor.score_texts(spark.createDataFrame(rows, schema), contexts=3, shard_tokens=50).collect()}
+    more = [*rows, *[(100 + k, True, "rare rare new new x1 x1 x1 " * 10) for k in range(3)]]
+    both = {x["doc_id"]: x["score"] for x in pitman_yor.score_texts(spark.createDataFrame(more, schema), contexts=3, shard_tokens=50).collect()}
+    assert {i: both[i] for i in alone} == alone
+
+
+def test_predictive_probabilities_sum_to_one():
+    """Over the vocabulary and the one unseen word, in the parent and in a context."""
+    rng = np.random.default_rng(2)
+    customers = rng.integers(1, 9, 50)
+    tables0 = np.minimum(customers, rng.integers(1, 4, 50))
+    c = rng.integers(0, 5, 50)
+    t = np.minimum(c, rng.integers(1, 3, 50))
+    g = pitman_yor.Globals(0.7, 0.6, 1.0, 50, np.array([t.sum()]), customers, tables0, int(tables0.sum()), int(customers.sum()))
+    parent = np.append(g.parent(customers, tables0), g.spread())
+    assert parent.sum() == pytest.approx(1, abs=1e-9)
+    p = pitman_yor._pair_probability(np.append(c, 0), np.append(t, 0), t.sum(), c.sum(), parent, g)
+    assert p.sum() == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize(("discount", "others", "base", "customers"), [(0.7, 400, 0.03, 1500), (0.7, 20, 0.02, 300), (0.5, 50, 0.01, 1500), (0.8, 5000, 0.0005, 200), (0.7, 400, 0.03, 150), (0.7, 9000, 0.03, 1500), (0.3, 3000, 0.02, 900), (0.9, 2000, 0.2, 1200)])
+def test_seating_of_many_customers(discount, others, base, customers):
+    """Against the whole posterior from tabled Stirling numbers."""
+    j = np.arange(customers)
+    log = np.cumsum(np.log(1 + discount * (others + j))) + np.log(base) * (j + 1) + pitman_yor.stirling(discount, customers)[customers, 1:]
+    p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+    mean = (p * (j + 1)).sum()
+    sd = math.sqrt((p * (j + 1 - mean) ** 2).sum())
+    ours = pitman_yor.draw_tables(np.full(6000, customers), np.full(6000, others), np.full(6000, base), discount, 1.0, pitman_yor.stirling(discount), np.random.default_rng(6))
+    assert ours.mean() == pytest.approx(mean, rel=0.02, abs=0.1) and ours.std() == pytest.approx(sd, rel=0.05, abs=0.05)
+
+
+def test_sample_is_bounded_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", 1000, 7, 3).collect()
+    assert len(rows) == 3 and all(r["text"] == min(f"text {i}" for i in range(200) if i % 5 == r["doc_id"]) for r in rows)
 
 
 def test_ranking():

@@ -1,10 +1,10 @@
 import pytest
 
 from compare import same
-from textloom.plans import catalog
+from textloom.plans import catalog, files
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(files.ORACLES))
 def test_query_equals_sql(spark, sf, name):
     ours, theirs = same(spark, catalog.QUERIES[name], catalog.ORACLES[name], sf)
     assert ours == theirs

@@ -200,3 +200,72 @@ def test_strip_and_words(spark, given):
 def test_runs(spark):
     assert value(spark, T.runs(F.array(*map(F.lit, ["a", "a", "b", "c", "c", "c"])))) == [2, 1, 3]
     assert value(spark, T.runs(F.array().cast("array<string>"))) == []
+
+
+def test_template_with_calls(spark):
+    call = "array(named_struct('name', 'f', 'arguments', '{}'))"
+    message = lambda calls: F.expr(f"array(named_struct('role', 'assistant', 'content', cast(null as string), 'tool_calls', {calls}))")
+    assert value(spark, chat.render(message(call), calls=True)).endswith('assistant<|end_header_id|>\n\n{"name": "f", "parameters": {}}<|eot_id|>')
+    for bad in (f"concat({call}, {call})", f"slice({call}, 1, 0)"):
+        with pytest.raises(Exception, match="exactly one tool call"):
+            value(spark, chat.render(message(bad), calls=True))
+
+
+def test_songs_are_written_step_by_step(spark, tmp_path):
+    """Eight steps, and as many calls of the generator as there are candidates."""
+    log = str(tmp_path / "calls")
+
+    def generator(prompt, sampling, seed):
+        with open(log, "a") as f:
+            f.write(f"{seed}\n")
+        tags = [x for x in prompt.split("\n") if x.startswith("<")]
+        return "\n".join([tags[0], *[f"шаг{seed} строка{k} поёт вновь" for k in range(4)], next(x for x in tags if x.startswith("</"))])
+
+    songs = spark.createDataFrame([(1, "t", " > ".join(["VERSE(a)"] * 8)), (2, None, "CHORUS(b)"), (3, "t", None)], "song_id long, theme string, structure string")
+    rows = {r["song_id"]: r["sections"] for r in generate.SongWriter(generator, generate.Sampling(tries=2)).write(songs).collect()}
+    assert [len(rows[k]) for k in (1, 2, 3)] == [8, 1, 0]
+    assert rows[1][7].startswith("<VERSE index=8 speaker=a>\nшаг742 ")
+    assert sorted(map(int, open(log))) == sorted([42 + 100 * k + t for k in range(8) for t in range(2)] + [42, 43])
+
+
+@pytest.mark.parametrize("n", [1, 3, 50, 400])
+def test_split_is_the_first_of_the_seeded_order(spark, n):
+    import hashlib
+
+    rows = instruct.train_valid_split(spark.range(n), ("id",)).collect()
+    order = sorted(range(n), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert {r["id"] for r in rows if r["split"] == "valid"} == set(order[: max(1, int(n * 0.05))])
+
+
+def test_previous_key(spark):
+    from textloom.functions.ranks import previous_key
+
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("a", 2), ("a", 900), (None, 3), (None, 4), ("b", 7), ("b", None)], "g string, k long")
+    found = sorted(map(tuple, previous_key(rows, "g", "k", 4).collect()), key=str)
+    assert found == sorted([("a", 1, None), ("a", 2, 1), ("a", 5, 2), ("a", 900, 5), (None, 3, None), (None, 4, 3), ("b", 7, None)], key=str)
+
+
+def test_running_total_keeps_clashing_columns(spark):
+    from textloom.functions.ranks import running_total
+
+    rows = spark.createDataFrame([(1, "k", 7, "b", None), (2, "j", 8, "c", 1)], "id int, key string, value int, bucket string, before int")
+    found = {r["id"]: tuple(r) for r in running_total(rows, F.md5(F.col("id").cast("string")), F.lit(2), "total", ("id",)).collect()}
+    assert sorted(x[-1] for x in found.values()) == [2, 4] and found[1][1:5] == ("k", 7, "b", None)
+
+
+def test_empty_and_null_inputs(spark):
+    """What the docstrings promise for nulls and empty tables."""
+    null = F.lit(None).cast("string")
+    assert value(spark, linefilter.clean_lines(F.lit(None).cast("array<string>"))) == []
+    assert value(spark, sections.clean_lyrics(null)) == "" and value(spark, sections.split_sections(null)) == []
+    assert value(spark, scoring.score_section(null)) == -1e9 and value(spark, scoring.line_overlap(null, null)) == 0
+    songs = spark.createDataFrame([(None, None, None, None)], "artist string, title string, url string, lyrics string")
+    marked = sections.mark_songs(songs)
+    assert canonical.canonicalize(marked).head()["canonical_text"] == ""
+    nothing = canonical.canonicalize(marked.withColumn("sections", F.lit(None).cast(marked.schema["sections"].dataType))).head()
+    assert (nothing["structure"], nothing["canonical_text"], nothing["n_sections"], nothing["dominant_voice"]) == ("", "", 0, "group")
+    empty = canonical.corpus_rows(canonical.canonicalize(sections.mark_songs(songs.limit(0))))
+    assert empty.collect() == [] and instruct.build_dataset(empty, "title").collect() == []
+    assert instruct.train_valid_split(empty, ("title",)).collect() == [] and chat.messages_of(spark.createDataFrame([], "c long, turn long, role string, text string"), "c").collect() == []
+    assert scoring.ngram_matches(empty.select("title", "text"), "title", empty.select("artist", "text"), "artist").collect() == []
+    assert scoring.best_candidate(spark.createDataFrame([], "g string, i int, score double, text string"), "g", "i").collect() == []

@@ -50,7 +50,7 @@ def test_song_index(spark):
 @pytest.mark.parametrize("href", ["/a/b", "c", "http://x/y", "//h/z", "?q", "#f", "", "mailto:a"])
 def test_resolve(spark, href):
     base = "https://example.org/list/index.html"
-    row = spark.range(1).select(html.resolve(base, F.lit(href)).alias("a"), html.resolve_any(base, F.lit(href)).alias("b"), html.url_path(html.resolve(base, F.lit(href))).alias("p")).head()
+    row = spark.range(1).select(html.resolve(base, F.lit(href)).alias("a"), html.resolve_any(base, F.lit(href))["url"].alias("b"), html.url_path(html.resolve(base, F.lit(href))).alias("p")).head()
     assert row["a"] == row["b"] == urljoin(base, href)
     if row["a"].startswith("http"):
         assert row["p"] == urlparse(row["a"]).path.lstrip("/")
@@ -105,3 +105,33 @@ def test_stream_resumes(spark, tmp_path):
     songs = spark.read.schema(records.RAW).json(str(tmp_path / "songs")).collect()
     assert sorted((s["url"], s["lyrics"][0]) for s in songs) == [("u1", "a"), ("u3", "c")]
     assert [r[0].split("\t")[0] for r in spark.read.text(str(tmp_path / "errors")).collect()] == [html.TOO_SHORT]
+
+
+@pytest.mark.parametrize("href", ["../x", "a/./b/../c", "a..b/c", "http://h.org:80/x y", "a:b", "/", "//h.org", "x.html/", "é/ü", "a//b", "..", "?", "/a/../b"])
+def test_resolve_any(spark, href):
+    base = "https://example.org/list/index.html"
+    row = spark.range(1).select(html.resolve_any(base, F.lit(href)).alias("r")).head()["r"]
+    assert (row["url"], row["error"]) == (urljoin(base, href), None)
+
+
+def test_broken_references_and_pages(spark, monkeypatch):
+    rows = spark.createDataFrame([("http://[bad",), (None,), ("ok",)], "href string").select("href", html.resolve_any("https://h.org/", F.col("href")).alias("r")).collect()
+    assert [r["r"]["url"] for r in rows] == [None, None, "https://h.org/ok"] and rows[0]["r"]["error"].startswith("ValueError") and rows[1]["r"]["error"] is None
+    found = html.parsed_links(spark.createDataFrame([(1, '<a href="x">'), (2, None)], "page_id long, html string")).collect()
+    assert [(r["page_id"], r["pos"], r["href"], r["error"]) for r in found] == [(1, 0, "x", None)]
+
+
+def test_first_seen_keeps_columns_and_nulls(spark):
+    rows = spark.createDataFrame([("u", 2, 0, "b"), ("u", 1, 5, None), ("v", None, 1, "c"), ("v", 0, 0, "d"), (None, 1, 1, "e")], "url string, page_id int, pos int, h3 string")
+    assert sorted(map(str, map(tuple, html.first_seen(rows, "url", "page_id", "pos").collect()))) == sorted(map(str, [("u", 1, 5, None), ("v", None, 1, "c"), (None, 1, 1, "e")]))
+    assert html.first_seen(rows.limit(0), "url", "page_id", "pos").columns == rows.columns
+
+
+def test_repeated_batch_adds_nothing(spark, tmp_path):
+    """A batch that comes again, whatever of it was written before, leaves one copy of its songs and error lines."""
+    rows = spark.createDataFrame([(1, "u1", '<div class="lyrics">' + "a" * 150), (2, "u2", "short")], ingest.PAGES)
+    songs, errors = str(tmp_path / "songs"), str(tmp_path / "errors")
+    for batch in (0, 0, 1):
+        ingest.append_new(rows, songs, errors, "x", batch=batch)
+    assert [r["url"] for r in spark.read.schema(records.RAW).json(songs).collect()] == ["u1"]
+    assert spark.read.text(errors).count() == 2  # the short page came in two batches

@@ -1,4 +1,9 @@
-"""Canonical markup of songs: tagged sections, the structure line, and the corpus and index projections."""
+"""Canonical markup of songs: tagged sections, the structure line, and the corpus and index projections.
+
+Defined results: a null type is OTHER, a null speaker or voice the group, a null text empty, null sections none; missing and
+null fields cannot be told apart in a table. Sections of one order and index keep their place; repeated rows are songs of
+their own; an empty table gives no rows; columns that are not named are not kept.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import collapse, newlines, rstrip
 
+#: Fixed value: order of a section that has none.
 LAST = 1_000_000_000
 
 
@@ -47,11 +53,12 @@ def canonical_text(sections: Column) -> Column:
 
 def canonicalize(marked: DataFrame) -> DataFrame:
     """Marked songs -> artist, title, url, dominant_voice, structure, canonical_text, n_sections, n_chars."""
-    ordered = marked.withColumn("_s", sort_sections(F.col("sections")))
-    text = ordered.withColumn("canonical_text", canonical_text(F.col("_s")))
+    sections = F.coalesce("sections", F.array().cast(marked.schema["sections"].dataType))
+    ordered = marked.select("artist", "title", "url", F.coalesce("dominant_voice", F.lit("group")).alias("dominant_voice"), sort_sections(sections).alias("s"))
+    text = ordered.withColumn("canonical_text", canonical_text(F.col("s")))
     return text.select(
-        "artist", "title", "url", F.coalesce("dominant_voice", F.lit("group")).alias("dominant_voice"), structure_line(F.col("_s")).alias("structure"), "canonical_text",
-        F.size(F.filter("_s", lambda s: sanitize(s["text"]) != "")).alias("n_sections"), F.length("canonical_text").alias("n_chars"),
+        "artist", "title", "url", "dominant_voice", structure_line(F.col("s")).alias("structure"), "canonical_text",
+        F.size(F.filter("s", lambda s: sanitize(s["text"]) != "")).alias("n_sections"), F.length("canonical_text").alias("n_chars"),
     )
 
 

@@ -1,4 +1,8 @@
-"""Chat template of tokenized training texts, and packing to a fixed length."""
+"""Chat template of tokenized training texts, and packing to a fixed length.
+
+Defined results: null content is empty; no messages give the system block alone; messages of one turn number follow role
+and content; repeated rows are messages of their own; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -36,11 +40,12 @@ def tool_result(content: Column) -> Column:
     return F.concat(header(F.lit("ipython")), quoted, F.lit(END))
 
 
-def render(messages: Column, date: str = DATE, generation_prompt: bool = False, tools: list[str] | None = None, tools_in_user_message: bool = True) -> Column:
+def render(messages: Column, date: str = DATE, generation_prompt: bool = False, tools: list[str] | None = None, tools_in_user_message: bool = True, calls: bool = False) -> Column:
     """Array of struct<role, content> -> text. A leading system message fills the system block; tools are JSON texts.
 
-    Roles `tool` and `ipython` are rendered as tool output; a message with a field `tool_call` (struct<name, arguments>)
-    that is not null is rendered as that call.
+    Roles `tool` and `ipython` are rendered as tool output. calls: messages have a field `tool_calls` as well, an array of
+    struct<name, arguments> with arguments as JSON text; where it is not null the message is rendered as its one call, and
+    any other number of calls is an error.
     """
     listed = "".join(t + "\n\n" for t in tools or [])
 
@@ -63,7 +68,11 @@ def render(messages: Column, date: str = DATE, generation_prompt: bool = False,
         return F.concat(head, let(rest, body), header(F.lit("assistant")) if generation_prompt else F.lit(""))
 
     def one(x: Column) -> Column:
-        return F.when(x["role"].isin("tool", "ipython"), tool_result(x["content"])).otherwise(turn(x["role"], x["content"]))
+        said = F.when(x["role"].isin("tool", "ipython"), tool_result(x["content"])).otherwise(turn(x["role"], x["content"]))
+        if not calls:
+            return said
+        call, several = F.get(x["tool_calls"], F.lit(0)), F.raise_error(F.lit("a message has to have exactly one tool call")).cast("string")
+        return F.when(x["tool_calls"].isNull(), said).when(F.size(x["tool_calls"]) == 1, tool_call(call["name"], call["arguments"])).otherwise(several)
 
     return let(messages, of)
 

@@ -1,9 +1,13 @@
-"""Planning of songs, prompts, and section generation with a pluggable generator."""
+"""Planning of songs, prompts, and section generation with a pluggable generator.
+
+Defined results: a null structure has no steps and gives a song without sections; null themes and contexts are empty;
+song_id names a song and has to be unique and not null; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,12 +17,15 @@ from textloom.functions.text import let, pstrip
 from textloom.operators.instruct import fill
 from textloom.operators.linefilter import FilterConfig, clean_section_text
 from textloom.operators.scoring import score_in_context
+from textloom.tables import materialize
 
 PLAN = "array<struct<type:string,speaker:string,index:int>>"
 
 
 @dataclass(frozen=True)
 class Sampling:
+    """The defaults of a section's sampling."""
+
     max_tokens: int = 260
     temp: float = 0.8
     top_p: float = 0.9
@@ -118,19 +125,24 @@ def best_section(prompts: DataFrame, generator: Generator, sampling: Sampling, c
 
 @dataclass(frozen=True)
 class SongWriter:
-    """Writes the sections of all songs step by step: one step's sections of every song are one distributed job."""
+    """Writes the sections of all songs step by step: one step's sections of every song are one distributed job.
+
+    What a step generates is written in the shared folder before it is used, so that the generator runs once for each
+    candidate and plans do not grow with the steps.
+    """
 
     generator: Generator
     sampling: Sampling = Sampling()
     wording: Wording = Wording()
     config: FilterConfig = FilterConfig()
     window: int = 2
-    materialize: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
+    materialize: Callable[[DataFrame], DataFrame] = staticmethod(lambda df: materialize(df.sparkSession, df, "songs"))
 
     def write(self, songs: DataFrame) -> DataFrame:
         """song_id, theme, structure -> song_id, sections, text."""
         plans = songs.select("song_id", "theme", parse_structure(F.col("structure")).alias("plan"), F.array().cast("array<string>").alias("sections"))
         longest = plans.agg(F.max(F.size("plan"))).head()[0] or 0
+        plans = self.materialize(plans) if longest else plans
         for k in range(longest):
             plans = self.materialize(self._step(plans, k))
         return plans.select("song_id", "sections", song_text(F.col("sections")).alias("text"))
@@ -139,9 +151,11 @@ class SongWriter:
         part = F.get("plan", F.lit(k))
         live = plans.filter(F.size("plan") > k).withColumn("context", context_of(F.col("sections"), F.lit(k), self.window))
         prompts = live.select("song_id", F.lit(k).alias("step"), "context", section_prompt(F.col("theme"), part["type"], part["speaker"], part["index"], F.col("context"), self.wording).alias("prompt"), part["type"].alias("kind"))
-        first = best_section(prompts, self.generator, self.sampling, self.config)
+        first = self.materialize(best_section(prompts, self.generator, self.sampling, self.config))
         short = prompts.join(first, ["song_id", "step"]).filter(needs_retry(F.col("kind"), F.col("text"))).drop("text")
-        second = best_section(short, self.generator, self.sampling.widened(), self.config, retry=True).withColumnRenamed("text", "again")
-        made = first.join(second, ["song_id", "step"], "left").select("song_id", F.coalesce("again", "text").alias("_new"))
-        grown = F.when(F.col("_new").isNotNull(), F.concat("sections", F.array("_new"))).otherwise(F.col("sections"))
+        made = first.select("song_id", F.col("text").alias("new"))
+        if not short.isEmpty():
+            second = best_section(short, self.generator, self.sampling.widened(), self.config, retry=True).withColumnRenamed("text", "again")
+            made = first.join(second, ["song_id", "step"], "left").select("song_id", F.coalesce("again", "text").alias("new"))
+        grown = F.when(F.col("new").isNotNull(), F.concat("sections", F.array("new"))).otherwise(F.col("sections"))
         return plans.join(made, "song_id", "left").select("song_id", "theme", "plan", grown.alias("sections"))

@@ -1,4 +1,8 @@
-"""Instruction examples from canonical songs. Every draw is a hash of seed, song and task, so examples are the same however the songs are partitioned."""
+"""Instruction examples from canonical songs. Every draw is a hash of seed, song and task, so examples are the same however the songs are partitioned.
+
+Defined results: a null title counts as an empty one, a null or blank text gives no example, a null key draws as an empty
+one; repeated rows give the same examples again; equal keys share a side of the split; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.ranks import running_total
+from textloom.functions.ranks import first_keys, running_total
 from textloom.functions.text import at, let, pstrip, uniform
 
 #: Markup of a block, and of its speaker.
@@ -114,13 +118,23 @@ def build_dataset(corpus: DataFrame, key: str, p: Prompts = Prompts()) -> DataFr
     }
     made = F.array(*[F.struct(F.lit(name).alias("task"), m.cast(MESSAGES).alias("messages")) for name, m in tasks.items()])
     rows = corpus.filter(pstrip(F.coalesce(text, F.lit(""))) != "").select(key, F.explode(made).alias("_e")).select(key, "_e.task", "_e.messages")
-    return rows.filter("messages IS NOT NULL")
+    return shuffled(rows.filter("messages IS NOT NULL"), p.seed, key, "task")
 
 
 def order_key(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]))
 
 
+def shuffled(rows: DataFrame, seed: str, *keys: str) -> DataFrame:
+    """rows in the seeded order, range-sorted over the cluster."""
+    return rows.orderBy(order_key(seed, *map(F.col, keys)), *keys)
+
+
+def seeded_place(rows: DataFrame, seed: str, *keys: str) -> DataFrame:
+    """rows with `place`, from 1, in the seeded order."""
+    return running_total(rows, order_key(seed, *map(F.col, keys)), F.lit(1).cast("long"), "place", keys)
+
+
 def train_valid_split(rows: DataFrame, keys: tuple[str, ...], seed: str = "42", ratio: float = 0.05, group: str | None = None) -> DataFrame:
     """rows with `split`: of the seeded order the first max(1, floor(n * ratio)) rows are `valid`, the others `train`.
 
@@ -128,7 +142,5 @@ def train_valid_split(rows: DataFrame, keys: tuple[str, ...], seed: str = "42",
     """
     unit = (group,) if group else keys
     units = rows.select(*unit).distinct() if group else rows
-    ranked = running_total(units, order_key(seed, *map(F.col, unit)), F.lit(1), "_rank", unit)
-    n_valid = max(1, int(units.count() * ratio))
-    marked = ranked.withColumn("split", F.when(F.col("_rank") <= n_valid, "valid").otherwise("train")).drop("_rank")
-    return rows.join(marked.select(*unit, "split"), list(unit)) if group else marked
+    first = first_keys(units, order_key(seed, *map(F.col, unit)), ratio, unit)
+    return rows.withColumn("split", F.when(first, "valid").otherwise("train"))

@@ -1,4 +1,8 @@
-"""Line filter of generated or scraped sections. Every step is an expression over one row's lines: nothing is shuffled."""
+"""Line filter of generated or scraped sections. Every step is an expression over one row's lines: nothing is shuffled.
+
+Defined results: a null text or array of lines is an empty one, null lines are dropped; an empty text stays empty. These are
+columns: repeated rows, other columns and empty tables are as the caller's query has them.
+"""
 
 from __future__ import annotations
 
@@ -67,7 +71,7 @@ def cap_repeats(kept: Column, most: int, keep_tags: bool = True) -> Column:
 
 def clean_lines(raw: Column, config: FilterConfig = FilterConfig()) -> Column:
     """Array of lines -> array of cleaned lines."""
-    stripped = F.filter(F.transform(raw, pstrip), lambda x: x != "")
+    stripped = F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), pstrip), lambda x: x != "")
     if config.collapse_whitespace:
         stripped = F.transform(stripped, squeeze)
 

@@ -1,4 +1,8 @@
-"""Scores of section texts and the choice among candidates."""
+"""Scores of section texts and the choice among candidates.
+
+Defined results: a null text is an empty one, and an empty one has the score NO_CONTENT; of equal scores the earliest
+candidate wins; repeated rows are scored each; an empty table gives no rows. Tables keep the columns that are named, no other.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,14 @@ from textloom.functions.text import let, lines, pstrip, runs, words
 from textloom.operators.linefilter import CYRILLIC, LATIN, is_tag_line
 
 N = 4
+#: Most n-grams, of 16 bytes each with their text's id, that are broadcast.
+SHIPPED = 1_000_000
 #: Score of a section without content, and of an empty list of candidates.
 NO_CONTENT, NO_CANDIDATE = -1e9, -1e18
 
 
 def content_lines(text: Column) -> Column:
-    return F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), pstrip), lambda x: (x != "") & ~is_tag_line(x))
+    return F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), pstrip), lambda x: (x != "") & ~(x.startswith("<") & is_tag_line(x)))
 
 
 def letter_counts(text: Column) -> Column:
@@ -28,6 +34,12 @@ def ngrams(tokens: Column, n: int = N) -> Column:
     return let(tokens, lambda w: F.when(F.size(w) >= n, join(w)).otherwise(F.array().cast("array<string>")))
 
 
+def ngram_hashes(tokens: Column, n: int = N) -> Column:
+    """64-bit hashes of an array's n-grams: what counting and comparing them needs."""
+    of = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return let(tokens, lambda w: F.when(F.size(w) >= n, of(w)).otherwise(F.array().cast("array<bigint>")))
+
+
 def line_frequencies(content: Column) -> Column:
     """struct<max_repeat, top3, n_distinct>: most frequent line, sum of the three highest frequencies, distinct lines."""
     counts = F.sort_array(runs(F.array_sort(content)), asc=False)
@@ -37,32 +49,41 @@ def line_frequencies(content: Column) -> Column:
 
 def repetition(tokens: Column, n: int = N) -> Column:
     """Share of an array's n-grams that repeat an earlier one."""
-    return let(ngrams(tokens, n), lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.greatest(F.lit(1), F.size(g)))
+    return let(ngram_hashes(tokens, n), lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.greatest(F.lit(1), F.size(g)))
 
 
-def line_statistics(text: Column) -> Column:
-    """struct<n_lines, n_words, avg_words, uniq_ratio, max_repeat, top3, repetition, cyr, lat> of a section's content."""
+def _content(text: Column) -> Column:
+    """struct<lines, grams, joined, n_words> of a text: everything that scores and comparisons read of it."""
+    of = lambda content: let(
+        F.array_join(content, " "), lambda joined: let(words(joined), lambda w: F.struct(content.alias("lines"), ngram_hashes(w).alias("grams"), joined.alias("joined"), F.size(w).alias("n_words")))
+    )
+    return let(content_lines(text), of)
 
-    def of(content: Column) -> Column:
-        def with_words(w: Column) -> Column:
-            def with_lines(f: Column) -> Column:
-                n = F.greatest(F.lit(1), F.size(content))
-                letters = letter_counts(F.array_join(content, " "))
-                return F.struct(
-                    F.size(content).alias("n_lines"), F.size(w).alias("n_words"), (F.size(w) / n).alias("avg_words"), (f["n_distinct"] / n).alias("uniq_ratio"),
-                    f["max_repeat"].alias("max_repeat"), f["top3"].alias("top3"), repetition(w).alias("repetition"), letters["cyr"].alias("cyr"), letters["lat"].alias("lat"),
-                )
 
-            return let(line_frequencies(content), with_lines)
+def _statistics(c: Column) -> Column:
+    def of(f: Column) -> Column:
+        n, grams = F.greatest(F.lit(1), F.size(c["lines"])), c["grams"]
+        letters = letter_counts(c["joined"])
+        return F.struct(
+            F.size(c["lines"]).alias("n_lines"), c["n_words"].alias("n_words"), (c["n_words"] / n).alias("avg_words"), (f["n_distinct"] / n).alias("uniq_ratio"),
+            f["max_repeat"].alias("max_repeat"), f["top3"].alias("top3"), ((F.size(grams) - F.size(F.array_distinct(grams))) / F.greatest(F.lit(1), F.size(grams))).alias("repetition"),
+            letters["cyr"].alias("cyr"), letters["lat"].alias("lat"),
+        )
 
-        return let(words(F.array_join(content, " ")), with_words)
+    return let(line_frequencies(c["lines"]), of)
 
-    return let(content_lines(text), of)
+
+def line_statistics(text: Column) -> Column:
+    """struct<n_lines, n_words, avg_words, uniq_ratio, max_repeat, top3, repetition, cyr, lat> of a section's content."""
+    return let(_content(text), _statistics)
 
 
 def score_section(text: Column) -> Column:
     """Fluency score of one section; NO_CONTENT where no content line is left."""
+    return let(_content(text), _score)
+
 
+def _score(content: Column) -> Column:
     def of(s: Column) -> Column:
         # Weights and limits of the score.
         value = (
@@ -72,7 +93,7 @@ def score_section(text: Column) -> Column:
         )
         return F.when(s["n_lines"] == 0, F.lit(NO_CONTENT)).otherwise(value)
 
-    return let(line_statistics(text), of)
+    return let(_statistics(content), of)
 
 
 def containment(current: Column, previous: Column) -> Column:
@@ -85,25 +106,36 @@ def line_overlap(text: Column, previous: Column) -> Column:
 
 
 def ngram_overlap(text: Column, previous: Column, n: int = N) -> Column:
-    grams = lambda t: ngrams(words(F.array_join(content_lines(t), " ")), n)
+    grams = lambda t: ngram_hashes(words(F.array_join(content_lines(t), " ")), n)
     return containment(grams(text), grams(previous))
 
 
 def score_in_context(text: Column, previous: Column) -> Column:
     """score_section less penalties for lines and n-grams taken from the context; a blank context costs nothing."""
-    previous = F.coalesce(previous, F.lit(""))
-    penalty = 8.0 * line_overlap(text, previous) + 6.0 * ngram_overlap(text, previous)
-    return let(score_section(text), lambda s: s - F.when((pstrip(previous) == "") | (s == NO_CONTENT), 0.0).otherwise(penalty))
+
+    def of(now: Column) -> Column:
+        def against(then: Column) -> Column:
+            penalty = 8.0 * containment(now["lines"], then["lines"]) + 6.0 * containment(now["grams"], then["grams"])
+            return let(_score(now), lambda s: s - F.when(s == NO_CONTENT, 0.0).otherwise(penalty))
+
+        # A blank context has no lines and no n-grams, so that nothing is contained in it.
+        return let(_content(previous), against)
+
+    return let(_content(text), of)
 
 
 def ngram_matches(current: DataFrame, current_id: str, other: DataFrame, other_id: str, n: int = N) -> DataFrame:
     """Pairs of texts that share n-grams: current_id, other_id, n_shared, ratio to the current text's distinct n-grams.
 
-    An equi-join on n-grams; both sides are distinct per text before they are shuffled.
+    An equi-join on hashes of n-grams, distinct per text. Where the other side has at most SHIPPED of them, which is counted
+    first, they are broadcast, and the current side's n-grams never leave their task but for those that match.
     """
-    grams = lambda df, key: df.select(key, F.array_distinct(ngrams(words(F.array_join(content_lines(F.col("text")), " ")), n)).alias("_g"))
+    grams = lambda df, key: df.select(key, F.array_distinct(ngram_hashes(words(F.array_join(content_lines(F.col("text")), " ")), n)).alias("_g"))
     left = grams(current, current_id).select(current_id, F.size("_g").alias("_n"), F.explode("_g").alias("_gram"))
-    right = grams(other, other_id).select(other_id, F.explode("_g").alias("_gram"))
+    right = grams(other, other_id)
+    small = (right.agg(F.sum(F.size("_g"))).head()[0] or 0) <= SHIPPED
+    right = right.select(other_id, F.explode("_g").alias("_gram"))
+    right = F.broadcast(right) if small else right.hint("shuffle_hash")
     return left.join(right, "_gram").groupBy(current_id, other_id).agg(F.count("*").alias("n_shared"), (F.count("*") / F.max("_n")).alias("ratio"))
 
 

@@ -1,4 +1,9 @@
-"""Songs as marked sections: headers, speakers, cleaning, and the voice that a song mostly has."""
+"""Songs as marked sections: headers, speakers, cleaning, and the voice that a song mostly has.
+
+Defined results: a null or blank text has no sections, the empty clean text and the group as its voice; a header without
+speaker is the group's; of equally long voices the first counts; repeated rows are songs of their own; an empty table gives
+no rows; columns that are not named are not kept.
+"""
 
 from __future__ import annotations
 
@@ -29,6 +34,7 @@ MARKER = r"(?iuU)^\s*\[текст песни"
 #: Punctuation that may stand alone on a broken line; an opening one is set off by a space.
 PUNCTUATION = (",", ".", "—", "-", "…", ":", ";", "!", "?", ")", "(", "»", "«")
 SPACED = ("(", "«")
+#: Fixed value: longest word that may be the rest of a broken line.
 FRAGMENT_LENGTH = 14
 
 

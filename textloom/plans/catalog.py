@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.ranks import previous_key
 from textloom.functions.text import lines, pstrip, squeeze, uniform, words
 from textloom.operators import canonical, chat, generate, instruct, linefilter, scoring, sections
 from textloom.sources import html
@@ -173,18 +174,20 @@ def avg_words_uniq_ratio(spark, sf_dir):
     return found.select("doc_id", F.round("s.avg_words", 6).alias("avg_words"), F.round("s.uniq_ratio", 6).alias("uniq_ratio"))
 
 
-#: Line and 4-gram overlap of a document with that of the preceding id.
+#: Line and 4-gram overlap of a document with the one before it in its source.
 OVERLAP = SCORED + """,
-b AS (SELECT a.doc_id, a.doc_id - 1 AS prev FROM documents a JOIN documents x ON x.doc_id = a.doc_id - 1),
+b AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents),
 dl AS (SELECT DISTINCT doc_id, line FROM l), dg AS (SELECT DISTINCT doc_id, gram FROM g WHERE gram IS NOT NULL),
 lo AS (SELECT b.doc_id, count(y.line) / count(*)::DOUBLE AS line_overlap FROM b JOIN dl ON dl.doc_id = b.doc_id LEFT JOIN dl y ON y.doc_id = b.prev AND y.line = dl.line GROUP BY b.doc_id),
 go AS (SELECT b.doc_id, count(y.gram) / count(*)::DOUBLE AS ngram_overlap FROM b JOIN dg ON dg.doc_id = b.doc_id LEFT JOIN dg y ON y.doc_id = b.prev AND y.gram = dg.gram GROUP BY b.doc_id)"""
 
 
 def _with_previous(docs: DataFrame) -> DataFrame:
-    """An equi-join on the id, not a window: no group of rows is met in one task."""
-    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("previous"))
-    return docs.join(before, "doc_id")
+    """Each document with the text before it in its source, null for the first: ids are ranked in ranges, so that no source
+    is met in one task, and texts are joined by id."""
+    order = previous_key(docs, "source", "doc_id").select("doc_id", F.col("previous").alias("before"))
+    texts = docs.select(F.col("doc_id").alias("before"), F.col("text").alias("previous"))
+    return docs.join(order, "doc_id").join(texts, "before", "left")
 
 
 @query(f"WITH {OVERLAP} SELECT doc_id, round(line_overlap, 6) AS line_overlap FROM lo")
@@ -208,10 +211,10 @@ def ngram4_overlap(spark, sf_dir):
     return found.select("doc_id", "item_id", "n_shared", F.round("ratio", 6).alias("ratio"))
 
 
-@query(f"WITH {SCORED}, x AS (SELECT *, round(score::DOUBLE, 6) AS r FROM sc) SELECT source, doc_id, r AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r DESC, doc_id) AS place FROM x) WHERE place = 1")
+@query(f"WITH {SCORED}, x AS (SELECT *, round(score::DOUBLE, 6) AS r FROM sc) SELECT x.source, doc_id, r AS score, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r DESC, doc_id) AS place FROM x) x JOIN documents USING (doc_id) WHERE place = 1")
 def best_candidate(spark, sf_dir):
-    scored = documents(spark, sf_dir).select("source", "doc_id", F.round(scoring.score_section(F.col("text")), 6).alias("score"), F.lit("").alias("text"))
-    return scoring.best_candidate(scored, "source", "doc_id").select("source", "doc_id", "score")
+    scored = documents(spark, sf_dir).select("source", "doc_id", F.round(scoring.score_section(F.col("text")), 6).alias("score"), "text")
+    return scoring.best_candidate(scored, "source", "doc_id").select("source", "doc_id", "score", F.md5("text").alias("digest"))
 
 
 # ---------------------------------------------------------------- sections and canonical markup
@@ -396,9 +399,10 @@ def _theme(task: str) -> str:
     return f"CASE WHEN {_u('title', task, 'theme')} < 0.55 OR title = '' THEN {topic} ELSE title END"
 
 
-@query(f"WITH {INFERRED} SELECT CAST(conv_id AS VARCHAR) AS title, CAST(count(*) AS INT) AS n_blocks FROM i GROUP BY conv_id")
+@query(f"WITH {INFERRED} SELECT CAST(conv_id AS VARCHAR) AS title, CAST(count(*) AS INT) AS n_blocks, md5({BODY}) AS digest FROM i GROUP BY conv_id")
 def block_extract(spark, sf_dir):
-    return corpus(spark, sf_dir).select("title", F.size(instruct.extract_blocks(F.col("text"))).alias("n_blocks"))
+    blocks = corpus(spark, sf_dir).select("title", instruct.extract_blocks(F.col("text")).alias("b"))
+    return blocks.select("title", F.size("b").alias("n_blocks"), F.md5(F.array_join("b", "\n\n")).alias("digest"))
 
 
 @query(f"WITH {INFERRED} SELECT CAST(conv_id AS VARCHAR) AS title, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, speaker FROM i")
@@ -449,10 +453,25 @@ def train_valid_split(spark, sf_dir):
     return instruct.train_valid_split(documents(spark, sf_dir).select("doc_id"), ("doc_id",))
 
 
-@query(f"""WITH {CORPUS}, n AS (SELECT conv_id, count(*) AS k, count(*) FILTER (type = 'CHORUS') AS c FROM i GROUP BY conv_id), x AS (SELECT CAST(conv_id AS VARCHAR) AS title, k, c FROM n)
-SELECT title, unnest(list_concat(['full'], CASE WHEN k >= 2 THEN ['next2'] ELSE [] END, CASE WHEN k >= 2 AND {_u('title', 'next1', 'draw')} < 0.35 THEN ['next1'] ELSE [] END, CASE WHEN c > 0 AND {_u('title', 'chorus', 'draw')} < 0.45 THEN ['chorus'] ELSE [] END)) AS task FROM x""")
+def _target(task: str, k: int) -> str:
+    return f"""z{k} AS (SELECT *, 1 + floor({_u('title', task, 'place')} * (n - 1))::INT AS target FROM b WHERE n >= 2),
+cx{k} AS (SELECT title, string_agg(block, chr(10) || chr(10) ORDER BY k) AS context FROM z{k} WHERE k BETWEEN target - {k} AND target - 1 GROUP BY title)"""
+
+
+def _next_prompt(task: str) -> str:
+    return _sql(PROMPTS.next_section, theme=_theme(task), speaker="speaker", context="context")
+
+
+@query(f"""WITH {NEXT}, corpus AS (SELECT CAST(conv_id AS VARCHAR) AS title, {STRUCTURE}, {BODY} AS text FROM i GROUP BY conv_id), {_target('next2', 2)}, {_target('next1', 1)},
+ch AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY k) - 1 AS c, count(*) OVER (PARTITION BY title) AS m FROM b WHERE starts_with(block, '<CHORUS')),
+x AS (SELECT title, 'full' AS task, {_sql(PROMPTS.full_song, theme=_theme('full'), structure='structure')} AS prompt, text AS answer FROM corpus
+UNION ALL SELECT title, 'next2', {_next_prompt('next2')}, block FROM z2 JOIN cx2 USING (title) WHERE k = target
+UNION ALL SELECT title, 'next1', {_next_prompt('next1')}, block FROM z1 JOIN cx1 USING (title) WHERE k = target AND {_u('title', 'next1', 'draw')} < 0.35
+UNION ALL SELECT title, 'chorus', {_sql(PROMPTS.chorus, theme=_theme('chorus'), speaker='speaker')}, block FROM ch WHERE c = floor({_u('title', 'chorus', 'pick')} * m) AND {_u('title', 'chorus', 'draw')} < 0.45)
+SELECT title, task, md5('system: {PROMPTS.system}|user: ' || prompt || '|assistant: ' || answer) AS digest FROM x""")
 def build_dataset(spark, sf_dir):
-    return instruct.build_dataset(corpus(spark, sf_dir), "title").select("title", "task")
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|")
+    return instruct.build_dataset(corpus(spark, sf_dir), "title").select("title", "task", F.md5(said).alias("digest"))
 
 
 @query("SELECT conv_id, CAST(count(*) AS INT) AS n_messages, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")

@@ -1,4 +1,9 @@
-"""Pages to links and texts. HTML is parsed by the standard library's event parser, in Arrow batches; everything else stays in expressions."""
+"""Pages to links and texts. HTML is parsed by the standard library's event parser, in Arrow batches; everything else stays in expressions.
+
+Defined results: a null page is an empty one, without links and with the empty text; what a page's parser or a reference
+raises is reported in its row; a URL that is met repeatedly counts where it comes first; an empty table gives no rows;
+columns that are not named are not read.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,6 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions.text import collapse, pstrip
 
@@ -138,19 +142,22 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 
 def parsed_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """All anchors, by parser: key, pos, href, h3."""
+    """All anchors, by parser: key, pos, href, h3, error. A page that cannot be parsed is one row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for k, page in zip(f[key], f[html], strict=True):
                 parser = _Links()
-                parser.feed(page or "")
-                rows += [(k, i, href, h3) for i, (href, h3) in enumerate(parser.found)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "href", "h3"])
+                try:
+                    parser.feed(page or "")
+                    rows += [(k, i, href, h3, None) for i, (href, h3) in enumerate(parser.found)]
+                except Exception as why:  # noqa: BLE001  a page's error belongs to its row
+                    rows.append((k, None, None, None, f"{type(why).__name__}: {why}"))
+            yield pd.DataFrame(rows, columns=[key, "pos", "href", "h3", "error"]).astype({"pos": "Int32"})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, href string, h3 string")
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, href string, h3 string, error string")
 
 
 def resolve(base: str, href: Column) -> Column:
@@ -169,13 +176,23 @@ def resolve(base: str, href: Column) -> Column:
 
 
 def resolve_any(base: str, href: Column) -> Column:
-    """Every reference of RFC 3986, dot segments included."""
+    """struct<url, error> of every reference of RFC 3986: by expression where it is a plain path or an absolute URL without
+    brackets, by Python where dot segments, brackets or control characters are in it. A reference that raises has no url."""
+
+    def one(h: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None, None) if h is None else (urljoin(base, h), None)
+        except ValueError as why:
+            return None, f"{type(why).__name__}: {why}"
 
-    @F.pandas_udf("string")
-    def join(values: pd.Series) -> pd.Series:
-        return values.map(lambda h: None if h is None else urljoin(base, h))
+    @F.pandas_udf("url string, error string")
+    def join(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(h) for h in values], columns=["url", "error"])
 
-    return join(href)
+    name = r"[A-Za-z0-9_~%-]+(\.[A-Za-z0-9_~%-]+)*"
+    plain = F.regexp_like(href, F.lit(rf"^((https?://|//)[A-Za-z0-9.:-]+)?/?({name}(/{name})*)?/?$")) & (href != "")
+    rest = join(F.when(~plain, href))
+    return F.struct(F.when(plain, resolve(base, href)).otherwise(rest["url"]).alias("url"), F.when(~plain, rest["error"]).alias("error"))
 
 
 def url_path(url: Column) -> Column:
@@ -183,9 +200,11 @@ def url_path(url: Column) -> Column:
 
 
 def first_seen(found: DataFrame, url: str, *order: str) -> DataFrame:
-    """The first row of each URL, in order of the given columns; a row number, since dropDuplicates keeps any row."""
-    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order)))
-    return ranked.filter("_n = 1").drop("_n")
+    """The first row of each URL, in order of the given columns: a minimum, which is taken before the shuffle as well, so
+    that copies of a popular link never meet in one task. Further ties follow the other columns."""
+    others = [c for c in found.columns if c not in (url, *order)]
+    first = found.groupBy(url).agg(F.min(F.struct(*order, *others)).alias("first of its url"))
+    return first.select(*[F.col(url) if c == url else F.col(f"`first of its url`.`{c}`").alias(c) for c in found.columns])
 
 
 def slug_title(path: Column, prefix: str, suffix: str = "-lyrics") -> Column:
@@ -196,7 +215,7 @@ def slug_title(path: Column, prefix: str, suffix: str = "-lyrics") -> Column:
 def song_index(pages: DataFrame, base: str, contains: str, prefix: str) -> DataFrame:
     """Pages -> title, url of the songs they link to."""
     rows = parsed_links(pages).filter(F.col("href").contains(contains) & (F.col("href") != ""))
-    rows = rows.withColumn("url", resolve_any(base, F.col("href"))).withColumn("path", url_path(F.col("url"))).filter(F.col("path").startswith(prefix))
+    rows = rows.withColumn("url", resolve_any(base, F.col("href"))["url"]).filter("url IS NOT NULL").withColumn("path", url_path(F.col("url"))).filter(F.col("path").startswith(prefix))
     return first_seen(rows, "url", "page_id", "pos").select(F.coalesce("h3", slug_title(F.col("path"), prefix)).alias("title"), "url")
 
 

@@ -1,4 +1,8 @@
-"""JSON-lines and text files, their error files, and counters."""
+"""JSON-lines and text files, their error files, and counters.
+
+Defined results: nulls are written and read as nulls; rows are written in any order and as often as they occur; an empty
+table gives files without rows; a missing path is Spark's own error except for sets of what is done.
+"""
 
 from __future__ import annotations
 
@@ -19,10 +23,20 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet of all folders batch=<number> below a path, with the number as `batch`; a missing path is an empty table."""
+    schema = f"{schema}, batch bigint"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_done(spark: SparkSession, path: str, column: str = "url") -> DataFrame:
     """Distinct values of a column; broken lines are skipped, a missing path is an empty set."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    if not _exists(spark, path):
         return spark.createDataFrame([], f"{column} string")
     return spark.read.schema(f"{column} string").option("mode", "DROPMALFORMED").json(path).filter(F.col(column).isNotNull()).distinct()
 
@@ -57,8 +71,8 @@ def error_lines(rows: DataFrame, kind: str, url: str = "url", title: str = "titl
     return rows.filter(F.col(kind).isNotNull()).select(F.concat_ws("\t", *columns).alias("value"))
 
 
-def write_errors(rows: DataFrame, path: str, kind: str, **names: str) -> None:
-    error_lines(rows, kind, **names).write.mode("append").text(path)
+def write_errors(rows: DataFrame, path: str, kind: str, mode: str = "append", **names: str) -> None:
+    error_lines(rows, kind, **names).write.mode(mode).text(path)
 
 
 def read_splits(spark: SparkSession, folder: str) -> DataFrame:

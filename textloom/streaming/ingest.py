@@ -11,19 +11,23 @@ from textloom.sources import html, records
 PAGES = "page_id bigint, url string, html string"
 
 
-def append_new(pages: DataFrame, output: str, errors: str, artist: str, selectors: list | None = None) -> None:
-    """Extract the pages whose url the output lacks; append songs, and error lines of pages that failed or are short.
+def append_new(pages: DataFrame, output: str, errors: str, artist: str, selectors: list | None = None, batch: int = 0) -> None:
+    """Extract the pages whose url no earlier batch has done; add songs, and error lines of pages that failed or are short.
 
-    The anti-join comes before the parser, so that pages already done are not parsed again.
+    Each batch has folders of its own below output, errors and output + ".done" (the urls of its songs, as Parquet), which
+    it overwrites: a batch that is repeated after a failure, wherever that came, adds nothing twice. The anti-join reads the
+    urls alone and comes before the parser. Pages that failed or are short are tried again when they arrive again.
     """
-    spark = pages.sparkSession
-    fresh = pages.join(records.read_done(spark, output), "url", "left_anti")
+    spark, done = pages.sparkSession, output.rstrip("/") + ".done"
+    earlier = records.read_batches(spark, done, "url string").filter(F.col("batch") != batch).select("url")
+    fresh = pages.join(earlier, "url", "left_anti")
     text = html.length_gate(html.extract_text(fresh, "url", selectors=selectors)).persist()
     try:
         good = text.filter("error IS NULL AND status IS NULL")
-        records.write_jsonl(good.select(F.lit(artist).alias("artist"), F.lit(None).cast("string").alias("title"), "url", F.col("text").alias("lyrics")), output, "append")
+        records.write_jsonl(good.select(F.lit(artist).alias("artist"), F.lit(None).cast("string").alias("title"), "url", F.col("text").alias("lyrics")), f"{output}/batch={batch}")
         bad = text.withColumn("kind", F.when(F.col("error").isNotNull(), "ERROR").otherwise(F.col("status"))).withColumn("title", F.lit(""))
-        records.write_errors(bad, errors, "kind", detail="error")
+        records.write_errors(bad, f"{errors}/batch={batch}", "kind", detail="error", mode="overwrite")
+        good.select("url").distinct().write.mode("overwrite").parquet(f"{done}/batch={batch}")
     finally:
         text.unpersist()
 
@@ -31,5 +35,5 @@ def append_new(pages: DataFrame, output: str, errors: str, artist: str, selector
 def follow(spark: SparkSession, source: str, output: str, errors: str, checkpoint: str, artist: str, selectors: list | None = None) -> StreamingQuery:
     """Streams parquet files of pages from a folder until none is left. Batches repeated after a failure add nothing twice."""
     stream = spark.readStream.schema(PAGES).parquet(source)
-    sink = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, output, errors, artist, selectors))
+    sink = stream.writeStream.foreachBatch(lambda rows, batch: append_new(rows, output, errors, artist, selectors, batch))
     return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -191,9 +191,14 @@ def decode_jpeg(data: bytes) -> np.ndarray:
 
 def _scan(data: bytes, size, parts, uses, quantization, tables, interval) -> np.ndarray:
     height, width = size
+    if not parts or not height or not width or not all(h and v for _, h, v, _ in parts):
+        raise MediaError("picture without size or parts")
     pieces = re.split(rb"\xff[\xd0-\xd7]", data[: data.rfind(b"\xff\xd9")] if b"\xff\xd9" in data else data)
     most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    # A block takes two codes of one bit at least: sizes that the scan cannot fill are not allocated.
+    if across * down * sum(h * v for _, h, v, _ in parts) > 4 * len(data):
+        raise MediaError("scan is truncated")
     planes = [np.zeros((down * v * 8, across * h * 8)) for _, h, v, _ in parts]
     basis, before, bits = _basis(), [0] * len(parts), _Bits(pieces.pop(0).replace(b"\xff\x00", b"\xff"))
     for unit in range(across * down):
@@ -257,21 +262,22 @@ def write_avi(frames: list[bytes], width: int, height: int, fps: int = FPS, note
 
 
 def parse_avi(data: bytes) -> tuple[dict, list[bytes]]:
-    """Properties and video frames of an AVI. Frames come by the index; without a right one, by walking the movie list."""
+    """Properties and video frames of an AVI. Frames of the first movie list come by the index, without a right one by walking
+    the list; those of further RIFF chunks (`AVIX`, which the index does not cover) by walking their lists."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise MediaError("no AVI")
     found = {"fps": float(FPS), "note": ""}
-    movie, index = None, b""
+    movies, index = [], b""
 
     def walk(at: int, end: int) -> None:
-        nonlocal movie, index
+        nonlocal index
         while at + 8 <= end:
             name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
             body = at + 8
             if name == b"LIST":
                 kind = data[body : body + 4]
                 if kind == b"movi":
-                    movie = (body, min(body + size, end))
+                    movies.append((body, min(body + size, end)))
                 else:
                     walk(body + 4, min(body + size, end))
             elif name == b"strh" and data[body : body + 4] == b"vids":
@@ -283,9 +289,18 @@ def parse_avi(data: bytes) -> tuple[dict, list[bytes]]:
                 index = data[body : body + size]
             at = body + size + (size & 1)
 
-    walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
-    if movie is None:
+    top = 0
+    while data[top : top + 4] == b"RIFF" and top + 12 <= len(data):
+        size = int.from_bytes(data[top + 4 : top + 8], "little")
+        walk(top + 12, min(len(data), top + 8 + size))
+        top += 8 + size + (size & 1)
+    if not movies:
         raise MediaError("no movie list")
+    return found, (_indexed(data, movies[0], index) or _walked(data, *movies[0])) + [f for m in movies[1:] for f in _walked(data, *m)]
+
+
+def _indexed(data: bytes, movie: tuple[int, int], index: bytes) -> list[bytes]:
+    """Frames by idx1; none where an entry does not fit."""
     for base in (movie[0], 0):  # offsets are from the list's kind, or from the file's start
         frames = []
         for name, _, at, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
@@ -296,9 +311,14 @@ def parse_avi(data: bytes) -> tuple[dict, list[bytes]]:
             if name[2:] in (b"dc", b"db"):
                 frames.append(data[start + 8 : start + 8 + size])
         if frames:
-            return found, frames
-    frames, at = [], movie[0] + 4
-    while at + 8 <= movie[1]:
+            return frames
+    return []
+
+
+def _walked(data: bytes, start: int, end: int) -> list[bytes]:
+    """Frames of a movie list in the order of its chunks."""
+    frames, at = [], start + 4
+    while at + 8 <= end:
         name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
         if name == b"LIST":
             at += 12
@@ -306,7 +326,7 @@ def parse_avi(data: bytes) -> tuple[dict, list[bytes]]:
         if name[2:] in (b"dc", b"db") and at + 8 + size <= len(data):
             frames.append(data[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
-    return found, frames
+    return frames
 
 
 # ---------------------------------------------------------------- payloads, shots, clips
@@ -385,8 +405,8 @@ def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, movie in zip(batch.column("media_id").to_pylist(), batch.column("media"), strict=True):
             try:
                 rows += [(key, *c, None) for c in clips(*read_samples([movie.as_py() or b""])[0])]
-            except (MediaError, KeyError, IndexError, struct.error, ValueError) as why:
-                rows.append((key, None, None, None, None, None, str(why)[:200]))
+            except Exception as why:  # noqa: BLE001  whatever a file raises belongs to its row
+                rows.append((key, None, None, None, None, None, f"{type(why).__name__}: {why}"[:200]))
         types = [batch.column("media_id").type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
         columns = zip(*rows, strict=True) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)

@@ -3,7 +3,11 @@ the cache lacks are encoded, and their counts are appended to it.
 
 Representatives of missing contents are chosen on digests alone (map-side combined, so a text that a third of all rows
 share is one row per task), then fetched by row id, which has no hot keys: the text is shuffled once, and not at all where
-nothing is missing.
+nothing is missing. Counts go back to the rows by digest; the digests of a HOT share of all rows or more, of which there are
+at most 1 / HOT, are salted on both sides. The cache is partitioned by tokenizer.
+
+A digest is that of the text as it is: tokenizers count white space, case and Unicode forms, so that any folding could give
+one entry to texts with different counts. Null is the only form that is normalised, to the empty text.
 
 Defined results: a null text is the empty text with 0 tokens; repeated rows and equal texts share one cache entry; an
 empty table appends nothing; further columns are ignored.
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import tokens
-from textloom.tables import scratch_path
+from textloom.tables import materialize, scratch_path
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 #: The pre-tokenizer pattern of the byte-level BPE family.
@@ -28,6 +32,8 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Outside these characters, Unicode tables of two libraries may differ; such texts go to the tokenizer whole.
 PLAIN = re.compile(r"[^\n\t\r -~\xa1-ɏ]")
 MEMO = 400_000
+#: Least share of rows of a digest that is salted.
+HOT = 2.0**-10
 
 
 def file_digest(path: str) -> str:
@@ -112,15 +118,20 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
     tokens.bound_batches(spark)
     version = file_digest(tokenizer)
     content = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", content.alias("text"), F.unhex(F.sha2(content, 256)).alias("content_digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    row_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row_id")
+    digest, row_id = F.unhex(F.sha2(content, 256)).alias("content_digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row_id")
+    rows = materialize(spark, docs.select("doc_id", digest, F.octet_length(content).cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache, version).select("content_digest")
-    wanted = keyed.select("content_digest", row_id).groupBy("content_digest").agg(F.min("row_id").alias("row_id")).join(known, "content_digest", "left_anti")
-    misses = keyed.select(row_id, "content_digest", "text").join(wanted.hint("shuffle_hash"), ["row_id", "content_digest"], "left_semi")
+    distinct = rows.select("content_digest", row_id).groupBy("content_digest").agg(F.min("row_id").alias("row_id"), F.count("*").alias("rows"))
+    least = max(2, int(rows.count() * HOT))
+    hot = distinct.filter(F.col("rows") > least).select("content_digest", F.ceil(F.col("rows") / least).cast("int").alias("salts")).collect()
+    wanted = distinct.select("content_digest", "row_id").join(known, "content_digest", "left_anti")
+    misses = docs.select(row_id, digest, content.alias("text")).join(wanted.hint("shuffle_hash"), ["row_id", "content_digest"], "left_semi")
     counted = misses.select("content_digest", "text").mapInArrow(encode_counts(tokenizer), "content_digest binary, n_tokens bigint")
-    counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
-    out = keyed.select("doc_id", "n_bytes", "content_digest").join(counts, "content_digest", "left")
+    counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+    salts = F.broadcast(spark.createDataFrame(hot, "content_digest binary, salts int"))
+    counts = read_cache(spark, cache, version).join(salts, "content_digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salted = rows.join(salts, "content_digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    out = salted.join(counts, ["content_digest", "salt"], "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 
 

@@ -3,8 +3,11 @@
 Documents with equal shingle sets are one class; classes are joined. A class's shingles are ordered rare first, and only
 a prefix of them is emitted: two sets over the threshold share a shingle of their prefixes. The order comes from two
 frequency sketches of fixed size over all documents: shingles that the first shows to be common (passages, phrases) come
-last, all others in order of their words' frequencies in the second. Any common order keeps the filter exact. Length, positional and suffix filters cut candidates before a pair is
-verified, once, on whole sets.
+last, all others in order of their words' frequencies in the second. Any common order keeps the filter exact. Length,
+positional and suffix filters cut candidates before a pair is verified, once, on whole sets. The suffix filter of the
+method bounds the difference of two sets' suffixes by recursive halving, which needs both sets in one place; here each set
+carries the parities of its sizes in BINS hash ranges, whose differences bound the difference of the whole sets from below
+without them, so that sets are fetched for pairs that pass alone.
 
 Links within a group of n near copies are not all emitted: first every class is compared with one hub class of each of its
 prefix buckets, then, across the components these links make, all pairs that share a bucket. No link between different
@@ -32,8 +35,8 @@ from textloom.llm import bloom, tokens
 from textloom.llm.components import components
 from textloom.tables import materialize, write_scratch
 
-WIDTH = 3
-PERCENT = 90
+#: Words of a shingle and percent of similarity, where a caller names no others.
+WIDTH, PERCENT = 5, 80
 #: Cells of each of the two frequency sketches (16 bits each when sent to executors), and cells of one of their slices.
 SKETCH_BITS, SLICE_BITS = 22, 16
 #: Tasks whose slices are added up together before the last sum.
@@ -324,5 +327,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def op9_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    """Contract columns: doc_id, n_shingles, component_id."""
-    return near_duplicates(docs)
+    """Contract columns: doc_id, n_shingles, component_id; three words and 90 percent."""
+    return near_duplicates(docs, 3, 90)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""

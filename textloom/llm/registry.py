@@ -70,4 +70,5 @@ ORACLES: dict[str, str] = {
     "op3_quality_ledger": quality_ledger.ORACLE,
     "op4_weighted_fair_mix": source_mix.ORACLE,
     "op7_warc_salvage": warc.ORACLE,
+    "op9_ngram_jaccard_join": ngram_join.ORACLE,
 }

@@ -47,21 +47,21 @@ def test_components(spark, seed):
     docs = near_copies(seed)
     sets = plain.shingle_sets(docs)
     expected = plain.components(sets)
-    rows = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    rows = ngram_join.op9_ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(sets[i]), expected[i]) for i, _ in docs}
 
 
 def test_lower_threshold(spark):
     docs = near_copies(7)
     expected = plain.components(plain.shingle_sets(docs), 60)
-    rows = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=60).collect()
+    rows = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 60).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == expected
 
 
 def test_join_on_documents(spark, sf):
     docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     expected = plain.components(plain.shingle_sets(docs))
-    rows = ngram_join.near_duplicates(table(spark, sf, "documents")).collect()
+    rows = ngram_join.op9_ngram_jaccard_join(table(spark, sf, "documents")).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == expected
     assert sum(i != c for i, c in expected.items()) > 5
 
@@ -243,31 +243,125 @@ def test_ranking():
     assert np.allclose(quality_rank.fit(x[:0], y[:0]).score(x), 0.5)
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(2)
-    vocabulary = np.sort(rng.integers(0, 1 << 60, 50).astype(np.uint64))
-    docs = []
-    for _ in range(300):
-        at = np.sort(rng.choice(50, rng.integers(0, 9), replace=False))
-        docs.append((vocabulary[at], rng.integers(1, 4, len(at)).astype(float)))
-    index = toxic_neighbours.build(vocabulary, rng.random(50) + 0.1, np.arange(300), rng.integers(0, 2, 300), docs)
-    dense = np.zeros((len(index.ids), 50))
-    for k, i in enumerate(index.ids):
-        at, w = index.vector(*docs[i])
-        dense[k, at] = w
-    for at, w in (index.vector(*d) for d in docs[:80]):
-        if not len(at):
-            continue
-        rows, sims = index.nearest(at, w, 10)
-        query = np.zeros(50)
-        query[at] = w
-        exact = dense @ query
-        order = np.lexsort((index.ids, -np.round(exact, 9)))[:10]
-        order = order[exact[order] > 0]
-        assert rows.tolist() == order.tolist() and np.allclose(sims, exact[order])
-
-
-@pytest.mark.parametrize(("name", "operator", "recall", "precision"), [("quality", quality_rank.op8_bradley_terry_quality, 0.98, 0.98), ("toxic", toxic_neighbours.op10_toxic_neighbours, 0.75, 0.95)])
+def test_ranking_minimises_the_loss_and_cuts_at_the_quantile():
+    """Against the penalised loss as it is written, and the quantile by sorting."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    y = (x[:, 0] + 0.8 * rng.normal(size=300) > -0.4).astype(int)
+    model = quality_rank.fit(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    draw = np.random.default_rng(7)
+    better, worse = draw.choice(np.flatnonzero(y == 1), quality_rank.PAIRS), draw.choice(np.flatnonzero(y == 0), quality_rank.PAIRS)
+    loss = lambda w: np.log1p(np.exp(-(z[better] - z[worse]) @ w)).mean() + quality_rank.PENALTY / 2 * w @ w
+    least = loss(model.weights)
+    for k in range(6):
+        for step in (-0.01, 0.01):
+            assert loss(model.weights + step * np.eye(6)[k]) > least
+    ranked = sorted(float(v) for v in z @ model.weights)
+    n = int((y == 0).sum())
+    assert model.threshold == pytest.approx((ranked[n - 1] + ranked[n]) / 2)
+    assert ((model.score(x) >= quality_rank.CUT).sum()) == 300 - n
+
+
+def test_trigram_shares():
+    texts = [b"abcabc", b"ab", b"", b"ABC 1234", "é".encode() * 4]
+    shares = quality_rank.trigrams(texts)
+    assert np.allclose(shares.sum(1), [1, 0, 0, 1, 1])
+    assert np.allclose(shares, np.vstack([quality_rank.trigrams([t]) for t in texts]))
+    assert np.allclose(quality_rank.trigrams([b"xy 123 z"]), quality_rank.trigrams([b"XY 777 Z"]))
+
+
+def test_scores_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text of words " * 9, 0.5, 7)], "doc_id long, text string, score double, other int")
+    model = quality_rank.fit(np.zeros((0, len(quality_rank.FEATURES))), np.zeros(0))
+    row = quality_rank.score(docs, model, "quality").head()
+    assert (row["score"], row["other"]) == (0.5, 7) and 0 <= row["quality"] <= 1
+    assert quality_rank.score(docs, model).columns == ["doc_id", "text", "other", "score"]
+
+
+def _random_examples(seed, n=400, terms=60):
+    rng = np.random.default_rng(seed)
+    vocabulary = np.sort(rng.integers(0, 1 << 60, terms).astype(np.uint64))
+    chance = 1 / np.arange(1, terms + 1)
+    docs = [np.sort(rng.choice(terms, rng.integers(0, 12), replace=False, p=chance / chance.sum())) for _ in range(n)]
+    tf = [rng.integers(1, 4, len(d)) for d in docs]
+    labels = np.array([int((d > 40).any()) if rng.random() < 0.9 else 1 for d in docs])
+    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return vocabulary, docs, tf, labels, toxic_neighbours.examples(np.arange(n), labels, vocabulary[flat(docs)], flat(tf), np.array(list(map(len, docs))))
+
+
+@pytest.mark.parametrize(("frequent", "step", "open_"), [(400, 64, 128), (5, 2, 12), (1, 1, 0), (20, 3, 30)])
+def test_scores_against_dense_cosines(monkeypatch, frequent, step, open_):
+    """Neighbours, votes and calibrated scores of the index against all cosines, worked out from counts."""
+    for name, x in (("FREQUENT", frequent), ("STEP", step), ("OPEN", open_)):
+        monkeypatch.setattr(toxic_neighbours, name, x)
+    vocabulary, docs, tf, labels, e = _random_examples(2)
+    index = toxic_neighbours.build(e)
+    kept, share = {int(i): k for k, i in enumerate(e.ids)}, dict(zip(e.ids.tolist(), e.labels.tolist(), strict=True))
+
+    def dense(ids, queries):
+        """Cosines of queries with the examples of these ids, and the examples' labels."""
+        y = np.array([share[i] for i in ids])
+        counts = np.zeros((len(ids), len(vocabulary)))
+        for k, i in enumerate(ids):
+            counts[k, docs[i]] = tf[i]
+        n, n1, has = len(ids), y.sum(), counts > 0
+        a, df = (has * y[:, None]).sum(0), has.sum(0)
+        tie = 0.01 + np.abs(np.log((a + n1 / n) / (n1 + 1) / ((df - a + (n - n1) / n) / (n - n1 + 1))))
+        weight = np.where(df > 0, np.log(1 + n / np.maximum(df, 1)) * tie, 0)
+        unit = lambda c: (lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))(np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * weight)
+        q = np.zeros((len(queries), len(vocabulary)))
+        for k, i in enumerate(queries):
+            q[k, docs[i]] = tf[i]
+        return unit(q) @ unit(counts).T, y
+
+    def vote(sims, y, ids):
+        order = [k for k in sorted(range(len(ids)), key=lambda k: (-round(float(sims[k]), 6), ids[k])) if sims[k] > 1e-9][: toxic_neighbours.K]
+        if not order:
+            return None, []
+        weight = 1 / (1.05 - np.minimum(sims[order], 1))
+        return ((weight * y[order]).sum() + y.mean()) / (weight.sum() + 1), [ids[k] for k in order]
+
+    ids = sorted(kept)
+    fold = {i: int(f) for i, f in zip(ids, tokens.mix(np.array(ids, np.uint64)) % np.uint64(toxic_neighbours.FOLDS), strict=True)}
+    xs, ys = [], []
+    for f in range(toxic_neighbours.FOLDS):
+        others, own = [i for i in ids if fold[i] != f], [i for i in ids if fold[i] == f]
+        sims, y = dense(others, own)
+        for i, s in zip(own, sims, strict=True):
+            v, _ = vote(s, y, others)
+            if v is not None:
+                xs.append(v)
+                ys.append(share[i])
+    places, shares = toxic_neighbours.isotonic(np.array(xs), np.array(ys))
+    sims, y = dense(ids, range(len(docs)))
+    for i, s in enumerate(sims):
+        at, w = index.vector(vocabulary[docs[i]], tf[i].astype(float))
+        score, rows, found = index.score(at, w)
+        v, names = vote(s, y, ids)
+        assert sorted(np.round(found, 5)) == pytest.approx(sorted(np.round([s[ids.index(n)] for n in names], 5)), abs=2e-5)
+        expected = index.prior if v is None else np.interp(v, places, shares)
+        assert score == pytest.approx(expected, abs=1e-3), (i, score, expected)
+        assert (v is None) == (not len(rows))
+
+
+def test_copies_are_one_example():
+    rng = np.random.default_rng(1)
+    base, other = np.sort(rng.choice(10_000, 100, replace=False)), np.sort(rng.choice(10_000, 100, replace=False))
+    near = np.sort(np.append(base[:-4], [20_000, 20_001, 20_002, 20_003]))
+    docs = [base, other, base, near, np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    flat = np.concatenate(docs)
+    e = toxic_neighbours.examples(np.arange(10, 16), np.array([1, 0, 0, 1, 0, 1]), flat.astype(np.uint64), np.ones(len(flat), np.int64), np.array(list(map(len, docs))))
+    assert e.ids.tolist() == [10, 11, 14, 15] and e.labels.tolist() == pytest.approx([2 / 3, 0, 0, 1])
+
+
+def test_terms_are_words_and_stems():
+    hashes, tf, counts = toxic_neighbours.terms([b"Stupidly stupid STUPIDLY a", b"", "é É".encode()])
+    assert counts.tolist() == [4, 0, 1] and sorted(tf[:4].tolist()) == [1, 1, 2, 2] and tf[4] == 2
+    assert set(hashes[:4]) >= set(tokens.words([b"stupidly stupid a"])[0])
+
+
+@pytest.mark.parametrize(("name", "operator", "recall", "precision"), [("quality", quality_rank.op8_bradley_terry_quality, 0.98, 0.98), ("toxic", toxic_neighbours.op10_toxic_neighbours, 0.85, 0.95)])
 def test_held_out(spark, name, operator, recall, precision):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):

@@ -243,3 +243,32 @@ def coder_all(coder, text):
         pick = {w: lists[w][k] for w, k in some}
         chosen = [pick.get(w, b) for w, b in enumerate(best)]
         yield sum(s for s, _ in chosen), [i for _, x in chosen for i in x]
+
+
+def test_hot_digest_is_salted(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_cache, "HOT", 0.1)
+    texts = ["the same text"] * 40 + [f"text {i}" for i in range(20)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = token_cache.op5_digest_token_counts(docs, registry.BYTE_BPE).collect()
+    library = Tokenizer.from_file(registry.BYTE_BPE)
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert len(rows) == len(texts)
+
+
+@pytest.mark.parametrize("change", [lambda f: f.replace(b"\xff\xc0\x00\x0b\x08", b"\xff\xc0\x00\x0b\x08\xff\xff\xff\xff", 1), lambda f: f[: len(f) // 2], lambda f: b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x00\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00\x00\xff\xd9", lambda f: b""])
+def test_broken_pictures_stay_in_their_row(spark, change):
+    movie = media.encode_payloads([media.payload_of(b"text" * 50)])[0]
+    frame = media.parse_avi(movie)[1][0]
+    bad = media.write_avi([change(frame)], 8, 8)
+    rows = media.clip_table(spark.createDataFrame([(1, bytearray(bad)), (2, bytearray(movie)), (3, None)], "doc_id long, media binary"), "doc_id", "media").collect()
+    found = {r["media_id"]: r["error"] for r in rows}
+    assert found[2] is None and found[3] and len(rows) == 3
+
+
+def test_further_riff_chunks():
+    frames = [media.parse_avi(media.encode_payloads([media.payload_of(t)])[0])[1][0] for t in (b"one", b"two", b"three")]
+    first = media.write_avi(frames[:1], 8, 8)
+    more = b"".join(media._chunk(b"RIFF", b"AVIX" + media._list(b"movi", media._chunk(b"00dc", f))) for f in frames[1:])
+    assert media.parse_avi(first + more)[1] == frames

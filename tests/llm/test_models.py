@@ -307,7 +307,8 @@ def test_scores_against_dense_cosines(monkeypatch, frequent, step, open_):
             counts[k, docs[i]] = tf[i]
         n, n1, has = len(ids), y.sum(), counts > 0
         a, df = (has * y[:, None]).sum(0), has.sum(0)
-        tie = 0.01 + np.abs(np.log((a + n1 / n) / (n1 + 1) / ((df - a + (n - n1) / n) / (n - n1 + 1))))
+        s = toxic_neighbours.SHRINK
+        tie = 0.01 + np.abs(np.log((a + s * n1 / n) / (n1 + s) / ((df - a + s * (n - n1) / n) / (n - n1 + s))))
         weight = np.where(df > 0, np.log(1 + n / np.maximum(df, 1)) * tie, 0)
         unit = lambda c: (lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))(np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * weight)
         q = np.zeros((len(queries), len(vocabulary)))
@@ -361,7 +362,7 @@ def test_terms_are_words_and_stems():
     assert set(hashes[:4]) >= set(tokens.words([b"stupidly stupid a"])[0])
 
 
-@pytest.mark.parametrize(("name", "operator", "recall", "precision"), [("quality", quality_rank.op8_bradley_terry_quality, 0.98, 0.98), ("toxic", toxic_neighbours.op10_toxic_neighbours, 0.85, 0.95)])
+@pytest.mark.parametrize(("name", "operator", "recall", "precision"), [("quality", quality_rank.op8_bradley_terry_quality, 0.98, 0.98), ("toxic", toxic_neighbours.op10_toxic_neighbours, 0.9, 0.95)])
 def test_held_out(spark, name, operator, recall, precision):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):

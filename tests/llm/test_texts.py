@@ -272,3 +272,17 @@ def test_further_riff_chunks():
     first = media.write_avi(frames[:1], 8, 8)
     more = b"".join(media._chunk(b"RIFF", b"AVIX" + media._list(b"movi", media._chunk(b"00dc", f))) for f in frames[1:])
     assert media.parse_avi(first + more)[1] == frames
+
+
+def test_long_headers_are_read(spark):
+    pages = spark.createDataFrame([(1, "http://h.org/" + "u" * 200_000, "<p>x"), (2, "u", None)], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc")
+    rows = warc.op7_warc_salvage(pages, path).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in rows) == [(1, 4), (2, 0)]
+    assert warc.read_archives(spark, path).filter("kind = 'gap'").count() == 0
+
+
+def test_header_that_does_not_end():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    found = warc.scan(b"WARC/1.1\r\nWARC-Type: response\r\nContent-" + record + record)
+    assert len(found.records) == 2 and [(g.offset, g.reason) for g in found.gaps] == [(0, "header block does not end")]

@@ -31,11 +31,11 @@ from textloom.llm import labelled, tokens
 SAMPLE = 4_096
 MOD, HELD = 3, 1
 CUT = 0.7
-K, BLOCK, FOLDS = 50, 32, 5
+K, BLOCK, FOLDS = 30, 32, 5
 #: Leading bytes of a word that are a term of their own; floor and shrinkage (in examples) of a term's tie to the label.
-STEM, TIE, SHRINK = 6, 0.01, 1.0
+STEM, TIE, SHRINK = 7, 0.01, 2.0
 #: Terms of fewer examples are read whole. Frequent terms read at a time, and open examples at which reading stops.
-FREQUENT, STEP, OPEN = 400, 64, 128
+FREQUENT, STEP, OPEN = 400, 64, 96
 #: Jaccard similarity of copies; minimum hashes of a document, in bands.
 COPY, BANDS, BAND = 0.8, 6, 3
 

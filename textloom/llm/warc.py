@@ -32,8 +32,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
 #: Bytes of an archive file: readers hold one file at a time.
 FILE_BYTES = 16 << 20
-#: Longest header block, and longest uncompressed gzip member, that the reader accepts.
-HEADER_BYTES, MEMBER_BYTES = 64 << 10, 1 << 30
+#: Longest gzip member, unpacked, that the reader accepts: it is held in memory, and a row of Spark's holds 2 GB at most.
+MEMBER_BYTES = 1 << 30
 FEED_BYTES = 64 << 10
 
 READ_SCHEMA = "path string, offset bigint, kind string, record_type string, record_id string, target_uri string, refers_to_id string, payload_bytes bigint, payload_digest string, payload binary, gap_bytes bigint, reason string"
@@ -70,8 +70,9 @@ def record_at(data: bytes, at: int) -> Record | str:
     version = _VERSION_LINE.match(data, at)
     if not version:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", version.end() - 2, at + HEADER_BYTES)
-    if stop < 0:
+    stop = data.find(b"\r\n\r\n", version.end() - 2)
+    # A header of any length, but not into the next record.
+    if stop < 0 or _VERSION_LINE.search(data, version.end(), stop):
         return "header block does not end"
     headers = {}
     for line in data[version.end() : stop].split(b"\r\n"):

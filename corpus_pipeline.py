@@ -40,8 +40,9 @@ def ngram_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keyed = docs.select(row_key().alias("key"), "doc_id", "text")
     found = ngram_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), WIDTH, PERCENT).groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
     named = found.join(keyed.select("key", "doc_id").distinct(), "key")
-    stays = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("stays"))
-    special = named.join(stays, "component").select("key", (F.col("key") == F.col("stays")).alias("stays"), "rows").filter("NOT stays OR rows > 1").select("key", "stays")
+    # Members meet their component's choice by their own keys, of which none is hot.
+    chosen = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")).select("key", F.lit(True).alias("stays"))
+    special = named.join(chosen, "key", "left").select("key", F.coalesce("stays", F.lit(False)).alias("stays"), "rows").filter("NOT stays OR rows > 1").select("key", "stays")
     special = materialize(spark, special, "dropped")
     maybe = bloom.might_contain(spark.sparkContext.broadcast(bloom.build(special, "key")), "key")
     rows = docs.select(*COLUMNS, row_key().alias("key")).withColumn("maybe", maybe)

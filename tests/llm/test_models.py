@@ -191,6 +191,42 @@ def test_scores_match_customer_by_customer_sampling(spark):
         assert ours[i] == pytest.approx(theirs[i], abs=0.06 * (len(t.split()) + 1)), (i, ours[i], theirs[i])
 
 
+def test_contexts_without_a_code_by_formula(spark):
+    """Words met once have no code, and each sits at one table for good: the restaurant of each is known."""
+    docs = spark.createDataFrame([(1, False, "a b c d e f"), (2, True, "a c"), (3, True, "a b"), (4, True, "z c"), (5, True, "c a")], "doc_id long, held_out boolean, text string")
+    score = {x["doc_id"]: x["score"] for x in pitman_yor.score_texts(docs, shard_tokens=3).collect()}
+    d, n = 0.95, 7  # discounts where no pair occurs twice; six words and an end
+    parent = (1 - d) / (1 + n) + (1 + d * n) / (n + 1) / (1 + n)
+    met, unmet = (1 - d + (1 + d) * parent) / 2, (1 + d) * parent / 2
+    unseen = (1 + d * n) / (n + 1) / (1 + n)
+    expected = {2: [met, unmet, unmet], 3: [met, met, unmet], 4: [(1 + d) * unseen / 2, parent, unmet], 5: [unmet, unmet, unmet]}
+    for i, p in expected.items():
+        assert score[i] == pytest.approx(sum(map(math.log10, p)), abs=1e-6), i
+
+
+@pytest.mark.parametrize(("contexts", "shard_tokens"), [(0, 20), (3, 20), (3, 1000)])
+def test_contexts_without_a_code_match_customer_by_customer_sampling(spark, contexts, shard_tokens):
+    """Pairs of coded and other words, in one shard and in many, against restaurants of their own for all contexts."""
+    r = random.Random(12)
+    after = {w: r.sample("abcdefgh", 8) for w in "abcdefgh"}
+    train = []
+    for k in range(16):
+        text = [r.choice("abcdefgh")]
+        while len(text) < 9:
+            text.append(r.choices(after[text[-1]], [40, 9, 3, 1, 1, 1, 1, 1])[0])
+        train.append((10 * k + 1, " ".join(text)))
+    tests = [(1000 + k, f"{w} {after[w][0]} {after[after[w][0]][0]}") for k, w in enumerate("abcdefgh")] + [(1100, "zz a zz"), (1101, "h g")]
+    docs = spark.createDataFrame([(i, i >= 1000, t) for i, t in train + tests], "doc_id long, held_out boolean, text string")
+    ours = {x["doc_id"]: x["score"] for x in pitman_yor.score_texts(docs, burn_in=4, samples=12, contexts=contexts, shard_tokens=shard_tokens).collect()}
+    seqs = [["<s>", *t.split(), None] for _, t in train]
+    pairs = Counter(p for s in seqs for p in zip(s, s[1:]))
+    first = Counter(w for _, w in pairs)
+    ney = lambda n: min(max(sum(v == 1 for v in n.values()) / (sum(v == 1 for v in n.values()) + 2 * sum(v == 2 for v in n.values())), 0.1), 0.95) if any(v == 1 for v in n.values()) else 0.5
+    theirs = hpy([t for _, t in train], tests, ney(pairs), ney(first), pitman_yor.STRENGTH, 60, np.random.default_rng(0))
+    for i, t in tests:
+        assert ours[i] == pytest.approx(theirs[i], abs=0.04 * (len(t.split()) + 1)), (i, ours[i], theirs[i])
+
+
 def test_held_out_rows_move_nothing(spark):
     r = random.Random(4)
     rows = [(i, False, " ".join(r.choices(["a", "b", "c", "rare", "x1", "x2"], k=12))) for i in range(20)]

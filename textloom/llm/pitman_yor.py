@@ -6,16 +6,20 @@ tables given all other tables (blocked over the dish's customers, by generalised
 tables given the tables that its children send up. Scores are log10 of predictive probabilities averaged over the sweeps
 after burn-in. Discounts come from counts of counts over the whole corpus.
 
-Distribution: words are 64-bit hashes. The CONTEXTS most frequent training words have codes; other contexts share one
-restaurant. Pairs (context, word) are dealt to shards by the word where it has no code, else by the pair: what belongs to one
-rare word is in one shard, and what belongs to frequent words is spread over all shards. Counts are added up per block
+Distribution: words are 64-bit hashes. The CONTEXTS most frequent training words have codes, which make them quick and change
+no restaurant. Pairs (context, word) are dealt to shards by the word where it has no code, else by the context where that has
+none, else by the pair: what belongs to one rare word is in one shard, and what belongs to frequent words is spread over all
+shards. Where neither has a code, the pair is with its word, and the shard of its context adds up the restaurant's tables: by
+the hash of the context, the one sends tables of pairs met twice or more, the other sends back their sum, once a sweep. For
+scores, the shards of contexts answer with customers and tables what the words' shards have to know. Counts are added up per block
 before they are shuffled. Pairs that are a HOT share of the training tokens or more, of which there are at most 1 / HOT, are
 shipped with their probabilities and scored where the text is read, so no pair's tokens gather in one task. What a shard
 needs besides its own pairs are arrays over the codes, of fixed size. Counts and scoring each shuffle packed, compressed token
-blocks once; sweeps read and write one row per shard in the shared folder and shuffle only sums by code. Words, codes, shards
-and draws follow from training rows alone, so that held-out rows move nothing.
+blocks once; sweeps read and write rows of each shard in the shared folder and shuffle sums by code, rare words and messages.
+Words, codes, shards and draws follow from training rows alone, so that held-out rows move nothing.
 
-Sweeps are parallel: a draw sees the other restaurants' tables as the last sweep left them.
+Sweeps are parallel: a draw sees the other restaurants' tables as the last sweep left them; the draw of a pair without any
+code sees its context's tables as the sweep before left them, and there is none in the first sweep.
 
 Defined results: a null or empty text is its end token alone; a null id counts as held out; repeated rows are scored each;
 an empty table gives no rows; without training rows counts are 0 and words get the base measure; other columns are not read.
@@ -51,6 +55,9 @@ HOT = 2.0**-14
 #: tables up to NARROW are weighed one by one.
 EXACT, NARROW = 64, 128
 SMOOTH = 0.1
+#: Rows by shard: pairs of codes, rare words; tables of contexts without a code that never change, that a shard draws, and in
+#: all; contexts asked for, and answers.
+CORE, WORDS, ONCE, UP, DOWN, ASK, ANSWER = range(-9, -2)
 
 
 def pack(**arrays) -> bytes:
@@ -176,16 +183,21 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Stream:
-    """Tokens of texts in order: codes of context and word, hash of the word, document."""
+    """Tokens of texts in order: codes of context and word, hash of the word, document, hash of the context."""
 
     context: np.ndarray
     word: np.ndarray
     hashes: np.ndarray
     doc: np.ndarray
+    before: np.ndarray
 
     def shard(self, n: int) -> np.ndarray:
-        pair = tokens.mix(self.context.astype(np.uint64) << np.uint64(16) | self.word.astype(np.uint64))
-        return (np.where(self.word == RARE, tokens.mix(self.hashes), pair) % np.uint64(n)).astype(np.int64)
+        key = self.context.astype(np.uint64) << np.uint64(16) | self.word.astype(np.uint64)
+        key = np.where(self.word == RARE, self.hashes, np.where(self.context == RARE, self.before, key))
+        return (tokens.mix(key) % np.uint64(n)).astype(np.int64)
+
+    def take(self, at: np.ndarray) -> Stream:
+        return Stream(self.context[at], self.word[at], self.hashes[at], self.doc[at], self.before[at])
 
 
 def stream(texts: list[bytes], frequent: np.ndarray) -> Stream:
@@ -196,7 +208,8 @@ def stream(texts: list[bytes], frequent: np.ndarray) -> Stream:
     inner = np.ones(len(word), bool)
     inner[np.cumsum(sizes + 1) - 1] = False
     word[inner], spelled[inner] = codes, hashes
-    return Stream(np.concatenate([[EDGE], word[:-1]]).astype(np.uint16), word, spelled, np.repeat(np.arange(len(texts)), sizes + 1))
+    before = np.concatenate([np.zeros(1, np.uint64), spelled[:-1]])
+    return Stream(np.concatenate([[EDGE], word[:-1]]).astype(np.uint16), word, spelled, np.repeat(np.arange(len(texts)), sizes + 1), before)
 
 
 def _blocks(s: Stream, n: int, doc: np.ndarray):
@@ -206,8 +219,8 @@ def _blocks(s: Stream, n: int, doc: np.ndarray):
     edges = np.searchsorted(shard[order], np.arange(n + 1))
     for k in np.flatnonzero(np.diff(edges)).tolist():
         part = order[edges[k] : edges[k + 1]]
-        rare = s.word[part] == RARE
-        yield k, {"u": s.context[part], "w": s.word[part], "h": s.hashes[part][rare], "d": doc[part].astype(np.uint32)}
+        rare, far = s.word[part] == RARE, s.context[part] == RARE
+        yield k, {"u": s.context[part], "w": s.word[part], "h": s.hashes[part][rare], "g": s.before[part][far], "d": doc[part].astype(np.uint32)}
 
 
 def _count_blocks(n: int, shipped):
@@ -217,9 +230,9 @@ def _count_blocks(n: int, shipped):
             rows = []
             for k, block in _blocks(s, n, s.doc):
                 key = block["u"].astype(np.uint32) << np.uint32(16) | block["w"]
-                rare = block["w"] == RARE
-                own, c = np.unique(key[~rare], return_counts=True)
-                rows.append((k, pack(key=own, c=c.astype(np.uint32), u=block["u"][rare], h=block["h"])))
+                rare, far = block["w"] == RARE, block["u"] == RARE
+                own, c = np.unique(key[~rare & ~far], return_counts=True)
+                rows.append((k, pack(key=own, c=c.astype(np.uint32), u=block["u"][rare], h=block["h"], g=block["g"][rare[far]], xg=block["g"][~rare[far]], xw=block["w"][~rare & far])))
             yield _shard_rows(rows)
 
     return run
@@ -229,18 +242,62 @@ def _shard_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
 
-_STATE = "shard int, blob binary, code int, a bigint, b bigint, c bigint, d bigint"
+_STATE = "shard int, core binary, blob binary, code int, a bigint, b bigint, c bigint, d bigint"
+
+
+def _rows(shards: list[int], code: int, blobs: list[bytes], sender: int = 0) -> pa.Table:
+    """Rows for shards. Pairs of codes have a column of their own, so that they stay where they are in a sweep."""
+    n, core = len(shards), code == CORE
+    column, empty = pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary())
+    rest = {name: pa.nulls(n, pa.int64()) for name in "bcd"}
+    return pa.table({
+        "shard": pa.array(shards, pa.int32()), "core": column if core else empty, "blob": empty if core else column,
+        "code": pa.array([code] * n, pa.int32()), "a": pa.array([sender] * n, pa.int64()), **rest,
+    })
+
+
+def _record(columns: int) -> np.dtype:
+    """A hash with numbers, as shards send them to each other."""
+    return np.dtype([("h", "<u8"), ("v", "<u4", (columns,))])
+
+
+def _records(blobs: list[bytes], columns: int = 1) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), _record(columns))
+
+
+def _deal(code: int, sender: int, to: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> pa.Table:
+    """One row for each shard that is sent something: hashes with their rows of values."""
+    order = np.argsort(to, kind="stable")
+    records = np.zeros(len(order), _record(values.shape[1]))
+    records["h"], records["v"] = hashes[order], values[order]
+    targets, starts = np.unique(to[order], return_index=True)
+    return _rows(targets.tolist(), code, [x.tobytes() for x in np.split(records, starts[1:])[: len(starts)]], sender)
+
+
+def _owner(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (tokens.mix(hashes) % np.uint64(n)).astype(np.int64)
+
 
+def _distinct(hashes: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((to, hashes))
+    hashes, to = hashes[order], to[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (to[1:] != to[:-1])
+    return hashes[first], to[first]
 
-def _state(shard: int, blob: bytes) -> pa.Table:
-    none = {name: pa.nulls(1, pa.int64()) for name in "abcd"}
-    return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([blob], pa.binary()), "code": pa.nulls(1, pa.int32()), **none})
+
+def _sent(rows: list[tuple[int, int, bytes]], code: int) -> list[bytes]:
+    return [blob for c, _, blob in rows if c == code]
+
+
+def _total(index: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(index, x, n).astype(np.int64)
 
 
 def _sum_rows(codes: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     n = len(codes)
     values = {name: pa.array(np.asarray(x, np.int64)) for name, x in zip("abcd", columns, strict=True)}
-    return pa.table({"shard": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary()), "code": pa.array(codes, pa.int32()), **values})
+    return pa.table({"shard": pa.nulls(n, pa.int32()), "core": pa.nulls(n, pa.binary()), "blob": pa.nulls(n, pa.binary()), "code": pa.array(codes, pa.int32()), **values})
 
 
 def _by_code(arrays: list[np.ndarray], offset: int = 0) -> pa.Table:
@@ -249,33 +306,63 @@ def _by_code(arrays: list[np.ndarray], offset: int = 0) -> pa.Table:
     return _sum_rows(some + offset, [a[some] for a in arrays])
 
 
-def _count_shard(table: pa.Table) -> pa.Table:
-    """Counts of a shard's pairs. Pairs met once sit at one table for good; only the others are kept for sampling."""
-    shard, parts = table.column("shard")[0].as_py(), [unpack(b.as_py()) for b in table.column("blob")]
-    keys, place = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([p["c"] for p in parts]), len(keys)).astype(np.int64)
-    hashes, word = np.unique(np.concatenate([p["h"] for p in parts]), return_inverse=True)
-    rare_keys, rare_counts = np.unique(word.astype(np.int64) << 16 | np.concatenate([p["u"] for p in parts]).astype(np.int64), return_counts=True)
-    rare_word, rare_u = rare_keys >> 16, rare_keys & 0xFFFF
-    u, w = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
-    by = lambda code, x: np.bincount(code, x, CODES).astype(np.int64)
-    one, rare_one = counts == 1, rare_counts == 1
-    total_n = np.bincount(rare_word, rare_counts, len(hashes)).astype(np.int64)
-    singles = np.bincount(rare_word, rare_one, len(hashes)).astype(np.int64)
-    state = pack(key=keys[~one], c=counts[~one], t=np.ones((~one).sum(), np.int64), rw=rare_word[~rare_one], ru=rare_u[~rare_one], rc=rare_counts[~rare_one], rt=np.ones((~rare_one).sum(), np.int64), h=hashes, n=total_n, s=singles, t0=np.ones(len(hashes), np.int64), past=[])
-    customers = np.bincount(rare_word, minlength=len(hashes))
-    arrays = [by(u, one) + by(rare_u, rare_one), by(w, one), by(w, counts), by(u, counts) + by(rare_u, rare_counts)]
-    twice = int((counts == 2).sum() + (rare_counts == 2).sum())
-    none = np.zeros(CODES, np.int64)
-    tokens.give_back()
-    return pa.concat_tables([
-        _state(shard, state),
-        _by_code(arrays),
-        _by_code([by(u, ~one) + by(rare_u, ~rare_one), by(w, ~one), none, none], CODES),  # one table each to begin with
-        _sum_rows(np.array([-1, -2]), [np.array(x) for x in zip(
-            (len(hashes), int(one.sum() + rare_one.sum()), twice, int(total_n.sum())),
-            (int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), 0), strict=True)]),
-    ])
+def _count_shard(shards: int, n: int):
+    """Counts of a shard's pairs. Pairs met once sit at one table for good; only the others are kept for sampling.
+
+    Contexts that the n shards of scoring have to know for training rows are asked for here.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, parts = table.column("shard")[0].as_py(), [unpack(b.as_py()) for b in table.column("blob")]
+        keys, place = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([p["c"] for p in parts]), len(keys)).astype(np.int64)
+        hashes, word = np.unique(np.concatenate([p["h"] for p in parts]), return_inverse=True)
+        # Contexts without a code: of rare words they are other shards', of coded words the shard's own rare words.
+        others, other = np.unique(np.concatenate([p["g"] for p in parts]), return_inverse=True)
+        context = np.concatenate([p["u"] for p in parts]).astype(np.int64)
+        context[context == RARE] = CODES + other
+        rare_keys, rare_counts = np.unique(word.astype(np.int64) << 32 | context, return_counts=True)
+        rare_word, rare_u = rare_keys >> 32, rare_keys & 0xFFFFFFFF
+        own = np.searchsorted(hashes, np.concatenate([p["xg"] for p in parts])).astype(np.int64)
+        own_keys, own_counts = np.unique(own << 16 | np.concatenate([p["xw"] for p in parts]), return_counts=True)
+        own_u, own_w = own_keys >> 16, own_keys & 0xFFFF
+        u, w = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
+        by = lambda code, x: _total(code, x, CODES)
+        one, rare_one, own_one, near = counts == 1, rare_counts == 1, own_counts == 1, rare_u < CODES
+        total_n = _total(rare_word, rare_counts, len(hashes))
+        singles = _total(rare_word, rare_one, len(hashes))
+        fixed = _total(rare_u[~near] - CODES, rare_one[~near], len(others))
+        # Of other shards' contexts those stay that have a pair to draw.
+        drawn, kept_u = np.unique(rare_u[~near & ~rare_one] - CODES, return_inverse=True)
+        ru = rare_u[~rare_one].copy()
+        ru[ru >= CODES] = CODES + kept_u
+        asked, to = _distinct(others[rare_u[~near] - CODES], _owner(hashes, n)[rare_word[~near]])
+        core = pack(key=keys[~one], c=counts[~one], t=np.ones((~one).sum(), np.int64), past=[])
+        state = pack(
+            rw=rare_word[~rare_one], ru=ru, rc=rare_counts[~rare_one], rt=np.ones(len(ru), np.int64), back=np.ones(len(kept_u), np.int64), others=others[drawn],
+            h=hashes, n=total_n, s=singles, t0=np.ones(len(hashes), np.int64), past=[],
+            ou=own_u[~own_one], ow=own_w[~own_one], oc=own_counts[~own_one], ot=np.ones((~own_one).sum(), np.int64), fixed=_total(own_u, own_one, len(hashes)),
+        )
+        customers = np.bincount(rare_word, minlength=len(hashes))
+        arrays = [by(u, one) + by(rare_u[near], rare_one[near]), by(w, one) + by(own_w, own_one), by(w, counts) + by(own_w, own_counts), by(u, counts) + by(rare_u[near], rare_counts[near])]
+        singly = int(one.sum() + rare_one.sum() + own_one.sum())
+        twice = int((counts == 2).sum() + (rare_counts == 2).sum() + (own_counts == 2).sum())
+        none = np.zeros(CODES, np.int64)
+        tokens.give_back()
+        return pa.concat_tables([
+            _rows([shard], CORE, [core]),
+            _rows([shard], WORDS, [state]),
+            _deal(ONCE, shard, _owner(others[fixed > 0], shards), others[fixed > 0], fixed[fixed > 0, None]),
+            _deal(UP, shard, _owner(others[drawn], shards), others[drawn], np.bincount(kept_u, minlength=len(drawn))[:, None]),
+            _deal(ASK, shard, _owner(asked, shards), asked, to[:, None]),
+            _by_code(arrays),
+            _by_code([by(u, ~one) + by(rare_u[near], ~rare_one[near]), by(w, ~one) + by(own_w, ~own_one), none, none], CODES),  # one table each to begin with
+            _sum_rows(np.array([-1, -2]), [np.array(x) for x in zip(
+                (len(hashes), singly, twice, int(total_n.sum())),
+                (int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), 0), strict=True)]),
+        ])
+
+    return run
 
 
 # ---------------------------------------------------------------- sweeps
@@ -303,39 +390,104 @@ class Globals:
         return (customers - self.discount0 * np.minimum(tables, customers)) / (self.strength + self.all_customers) + self.spread()
 
 
-def _sweep(shipped, number: int, keep: bool):
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """Shards with their rows (code, sender, blob), which lie together."""
+    shard, rows = None, []
+    for batch in batches:
+        for k, code, sender, blob in zip(*[batch.column(x).to_pylist() for x in ("shard", "code", "a", "blob")], strict=True):
+            if k != shard and rows:
+                yield shard, rows
+                rows = []
+            shard = k
+            rows.append((code, sender, blob))
+    if rows:
+        yield shard, rows
+
+
+def _sweep_core(s: dict, g: Globals, table: np.ndarray, rng: np.random.Generator, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Draws of pairs of codes; tables by context and by word."""
+    u, w = (s["key"] >> np.uint32(16)).astype(np.int64), (s["key"] & np.uint32(0xFFFF)).astype(np.int64)
+    s["t"] = draw_tables(s["c"], g.tables[u] - s["t"], g.parent(g.customers, g.tables0)[w], g.discount, g.strength, table, rng)
+    if keep:
+        s["past"].append(s["t"].astype(np.uint32))
+    return _total(u, s["t"], CODES), _total(w, s["t"], CODES)
+
+
+def _sweep_words(s: dict, rows: list[tuple[int, int, bytes]], g: Globals, table: np.ndarray, table0: np.ndarray, rng: np.random.Generator, keep: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Draws of all other pairs and of rare words in the parent; tables of the shard's own contexts before, of other shards' contexts after."""
+    n = len(s["h"])
+    once, ups, downs = (_records(_sent(rows, code)) for code in (ONCE, UP, DOWN))
+    s["fixed"] = s["fixed"] + _total(np.searchsorted(s["h"], once["h"]), once["v"][:, 0], n)
+    tables = s["fixed"] + _total(s["ou"], s["ot"], n) + _total(np.searchsorted(s["h"], ups["h"]), ups["v"][:, 0], n)
+    met = s["s"] + _total(s["rw"], s["rt"], n)
+    rare_parent = g.parent(met, s["t0"])
+    s["ot"] = draw_tables(s["oc"], tables[s["ou"]] - s["ot"], g.parent(g.customers, g.tables0)[s["ow"]], g.discount, g.strength, table, rng)
+    near, last = s["ru"] < CODES, s["rt"]
+    rest, s["rt"] = np.zeros(len(last), np.int64), last.copy()
+    rest[near] = g.tables[s["ru"][near]] - last[near]
+    told = np.zeros(len(s["others"]), np.int64)
+    told[np.searchsorted(s["others"], downs["h"])] = downs["v"][:, 0]
+    rest[~near] = told[s["ru"][~near] - CODES] - s["back"]
+    s["back"] = last[~near]
+    draw = np.flatnonzero(near | (len(downs) > 0))
+    s["rt"][draw] = draw_tables(s["rc"][draw], rest[draw], rare_parent[s["rw"][draw]], g.discount, g.strength, table, rng)
+    met = s["s"] + _total(s["rw"], s["rt"], n)
+    s["t0"] = draw_tables(met, np.maximum(g.all_tables0 - s["t0"], 0), np.full(n, 1 / (g.vocabulary + 1)), g.discount0, g.strength, table0, rng)
+    if keep:
+        s["past"].append(tuple(s[x].astype(np.uint32) for x in ("rt", "t0", "ot")) + (met.astype(np.uint32),))
+    return tables, [_total(s["ru"][near], s["rt"][near], CODES), _total(s["ow"], s["ot"], CODES), np.array([s["t0"].sum(), met.sum()])]
+
+
+def _others(s: dict, rt: np.ndarray) -> np.ndarray:
+    """Tables that a shard's rare words have at each of the other shards' contexts."""
+    far = s["ru"] >= CODES
+    return _total(s["ru"][far] - CODES, rt[far], len(s["others"]))
+
+
+def _sweep(shipped, number: int, keep: bool, end: bool, shards: int):
+    """After the last sweep shards send each other the tables of all kept sweeps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: Globals = shipped.value
         table, table0 = stirling(g.discount), stirling(g.discount0)
         sums, scalars = [np.zeros(CODES, np.int64) for _ in range(4)], np.zeros(4, np.int64)
-        for batch in batches:
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob"), strict=True):
-                s = unpack(blob.as_py())
-                rng = np.random.default_rng([SEED, number, shard])
-                u, w = (s["key"] >> np.uint32(16)).astype(np.int64), (s["key"] & np.uint32(0xFFFF)).astype(np.int64)
-                parent = g.parent(g.customers, g.tables0)
-                met = s["s"] + np.bincount(s["rw"], s["rt"], len(s["h"])).astype(np.int64)
-                rare_parent = g.parent(met, s["t0"])
-                s["t"] = draw_tables(s["c"], g.tables[u] - s["t"], parent[w], g.discount, g.strength, table, rng)
-                s["rt"] = draw_tables(s["rc"], g.tables[s["ru"]] - s["rt"], rare_parent[s["rw"]], g.discount, g.strength, table, rng)
-                met = s["s"] + np.bincount(s["rw"], s["rt"], len(s["h"])).astype(np.int64)
-                base = np.full(len(met), 1 / (g.vocabulary + 1))
-                s["t0"] = draw_tables(met, np.maximum(g.all_tables0 - s["t0"], 0), base, g.discount0, g.strength, table0, rng)
-                if keep:
-                    s["past"].append((s["t"].astype(np.uint32), s["rt"].astype(np.uint32), met.astype(np.uint32), s["t0"].astype(np.uint32)))
-                sums[0] += (np.bincount(u, s["t"], CODES) + np.bincount(s["ru"], s["rt"], CODES)).astype(np.int64)
-                sums[1] += np.bincount(w, s["t"], CODES).astype(np.int64)
-                scalars += [int(s["t0"].sum()), int(met.sum()), 0, 0]
-                yield from _state(shard, pack(**s)).to_batches()
+        for shard, rows in _by_shard(batches):
+            for blob in _sent(rows, CORE):
+                s = unpack(blob)
+                for total, x in zip(sums, _sweep_core(s, g, table, np.random.default_rng([SEED, number, shard]), keep), strict=False):
+                    total += x
+                yield from _rows([shard], CORE, [pack(**s)]).to_batches()
+            for blob in _sent(rows, WORDS):
+                s = unpack(blob)
+                tables, (by_context, by_word, numbers) = _sweep_words(s, rows, g, table, table0, np.random.default_rng([SEED, number, shard, 1]), keep)
+                sums[0] += by_context
+                sums[1] += by_word
+                scalars[:2] += numbers
+                yield from _rows([shard], WORDS, [pack(**s)]).to_batches()
+                mine = [_others(s, x[0]) for x in s["past"]] if end else [_others(s, s["rt"])]
+                yield from _deal(UP, shard, _owner(s["others"], shards), s["others"], np.stack(mine, 1)).to_batches()
+                if not end:
+                    asked = [(sender, _records([x])["h"]) for code, sender, x in rows if code == UP]
+                    to = np.repeat([x for x, _ in asked], [len(x) for _, x in asked]).astype(np.int64)
+                    hashes = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in asked]])
+                    yield from _deal(DOWN, shard, to, hashes, tables[np.searchsorted(s["h"], hashes)][:, None]).to_batches()
         yield from _by_code(sums).to_batches()
         yield from _sum_rows(np.array([-1]), [scalars[k : k + 1] for k in range(4)]).to_batches()
 
     return run
 
 
+def _core(state: DataFrame) -> DataFrame:
+    return state.filter("core IS NOT NULL").select("shard", F.lit(CORE).alias("code"), F.lit(0).cast("long").alias("a"), F.col("core").alias("blob"))
+
+
+def _rest(state: DataFrame) -> DataFrame:
+    return state.filter(f"blob IS NOT NULL AND code <> {ASK}").select("shard", "code", "a", "blob")
+
+
 def _sums(state: DataFrame) -> dict[int, tuple[int, ...]]:
     """Sums by code over all shards: 2 * CODES + 3 rows at most."""
-    rows = state.filter("code IS NOT NULL").groupBy("code").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow().to_pydict()
+    rows = state.filter("shard IS NULL").groupBy("code").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow().to_pydict()
     return {k: x for k, *x in zip(*[rows[c] for c in ("code", "a", "b", "c", "d")], strict=True)}
 
 
@@ -358,7 +510,7 @@ def _hot_rows(least: int):
             for blob in batch.column("blob"):
                 s = unpack(blob.as_py())
                 hot = np.flatnonzero(s["c"] >= least)
-                tables = [past[0][hot].tolist() for past in s["past"]]
+                tables = [past[hot].tolist() for past in s["past"]]
                 yield pa.RecordBatch.from_arrays([pa.array(s["key"][hot].astype(np.int64)), pa.array(s["c"][hot].astype(np.int64)), pa.array([list(t) for t in zip(*tables, strict=True)], pa.list_(pa.int64()))], ["key", "c", "t"])
 
     return run
@@ -389,15 +541,68 @@ def _score_blocks(n: int, shipped, hot_pairs):
             at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
             hot = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
             sums = [np.bincount(s.doc[hot], x, len(texts)) for x in (None, base[at[hot]], score[at[hot]])] if len(keys) else [np.zeros(len(texts))] * 3
-            rest = Stream(s.context[~hot], s.word[~hot], s.hashes[~hot], s.doc[~hot])
+            rest = s.take(~hot)
             rows = [(k, pack(first=done, **block)) for k, block in _blocks(rest, n, rest.doc << 1 | held[rest.doc])]
             rows.append((int(tokens.mix(np.array([done], np.uint64))[0] % np.uint64(n)), pack(head=(done, ids, held, sizes, sums))))
             done += len(texts)
-            yield _shard_rows(rows)
+            packed = _shard_rows(rows)
+            yield pa.RecordBatch.from_arrays([packed.column(0), pa.nulls(len(rows), pa.int32()), packed.column(1)], ["shard", "code", "blob"])
+
+    return run
+
+
+def _ask(n: int, shards: int, shipped):
+    """Contexts without a code in held-out rows that the n shards of scoring have to know: requests to the contexts' shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, to = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+        def flush():
+            asked, by = _distinct(np.concatenate(hashes), np.concatenate(to))
+            del hashes[1:], to[1:]
+            return _deal(ASK, 0, _owner(asked, shards), asked, by[:, None]).select(["shard", "code", "a", "blob"]).to_batches()
+
+        for _, _, texts in _chunks(batches, BLOCK_BYTES):
+            s = stream(texts, shipped.value)
+            both = (s.word == RARE) & (s.context == RARE)
+            hashes.append(s.before[both])
+            to.append(_owner(s.hashes[both], n))
+            if sum(map(len, hashes)) > 1_000_000:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
+def _context_tables(s: dict, ups: list[bytes]) -> np.ndarray:
+    """Tables of the shard's own contexts, a column for each kept sweep."""
+    sent = _records(ups, len(s["past"]))
+    at, n = np.searchsorted(s["h"], sent["h"]), len(s["h"])
+    return np.stack([s["fixed"] + _total(s["ou"], past[2], n) + _total(at, sent["v"][:, k], n) for k, past in enumerate(s["past"])], 1)
+
+
+def _lookup(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes, and whether they are there."""
+    at = np.searchsorted(sorted_hashes, wanted)
+    if not len(sorted_hashes):
+        return at, np.zeros(len(wanted), bool)
+    return at, sorted_hashes[np.minimum(at, len(sorted_hashes) - 1)] == wanted
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Customers and tables of the contexts asked for; a word is followed as often as it occurs. Words without customers get no answer."""
+    rows = list(zip(*[table.column(x).to_pylist() for x in ("code", "a", "blob")], strict=True))
+    found = _sent(rows, WORDS)
+    if not found:
+        return _deal(ANSWER, 0, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 1))).select(["shard", "code", "blob"])
+    s, asked = unpack(found[0]), _records(_sent(rows, ASK))
+    hashes, to = _distinct(asked["h"], asked["v"][:, 0].astype(np.int64))
+    at, known = _lookup(s["h"], hashes)
+    at, hashes, to = at[known], hashes[known], to[known]
+    tables = _context_tables(s, _sent(rows, UP))
+    return _deal(ANSWER, 0, to, hashes, np.concatenate([s["n"][at, None], tables[at]], 1)).select(["shard", "code", "blob"])
+
+
 _PARTS = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -409,13 +614,18 @@ def _pair_probability(c, tables, context_tables, context_count, parent, g: Globa
 def _score_shard(shipped):
     def run(table: pa.Table) -> pa.Table:
         past, coded_n, context_count, train_tokens = shipped.value  # one Globals per kept sweep
-        g, out, blocks, state = past[-1], [], [], None
-        for blob in table.column("blob"):
+        g, out, blocks, core, state, ups, answers = past[-1], [], [], None, None, [], []
+        for code, blob in zip(table.column("code").to_pylist(), table.column("blob"), strict=True):
+            if code in (UP, ANSWER):
+                (ups if code == UP else answers).append(blob.as_py())
+                continue
             p = unpack(blob.as_py())
-            if "head" in p:
-                out.append((p["head"][0], blob.as_py()))
-            elif "past" in p:
+            if code == CORE:
+                core = p
+            elif code == WORDS:
                 state = p
+            elif "head" in p:
+                out.append((p["head"][0], blob.as_py()))
             else:
                 blocks.append(p)
         if not blocks:
@@ -423,46 +633,68 @@ def _score_shard(shipped):
         u, w = (np.concatenate([b[k] for b in blocks]).astype(np.int32) for k in "uw")
         d = np.concatenate([b["d"] for b in blocks])
         chunks, ends = [b["first"] for b in blocks], np.cumsum([len(b["u"]) for b in blocks])
-        train, rare = (d & np.uint32(1)) == 0, w == RARE
-        hashes = np.concatenate([b["h"] for b in blocks])
+        train, rare, far = (d & np.uint32(1)) == 0, w == RARE, u == RARE
+        hashes, before = np.concatenate([b["h"] for b in blocks]), np.concatenate([b["g"] for b in blocks])
         del blocks
-        # Coded words.
-        keys, place = np.unique(u[~rare].astype(np.int64) << 16 | w[~rare], return_inverse=True)
-        c = np.bincount(place, train[~rare], len(keys)).astype(np.int64)
+        samples = len(past)
+        plain, own = ~rare & ~far, ~rare & far
+        if state is None:
+            none, small = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            state = {**dict.fromkeys(("n", "rw", "ru", "ou", "ow", "fixed"), none), **dict.fromkeys(("h", "others"), np.zeros(0, np.uint64)), "past": [(small,) * 4] * samples}
+        # Coded words after coded words.
+        keys, place = np.unique(u[plain].astype(np.int64) << 16 | w[plain], return_inverse=True)
+        c = np.bincount(place, train[plain], len(keys)).astype(np.int64)
         ku, kw = keys >> 16, keys & 0xFFFF
-        kept = np.searchsorted(state["key"], keys.astype(np.uint32)) if state else np.zeros(0, np.int64)
+        kept = np.searchsorted(core["key"], keys[c > 1].astype(np.uint32)) if core else np.zeros(0, np.int64)
         probability = np.zeros(len(keys))
-        # Rare words.
+        # Coded words after the shard's own rare words.
+        contexts, context = np.unique(before[~rare[far]], return_inverse=True)
+        own_keys, own_place = np.unique(context << 16 | w[own], return_inverse=True)
+        oc = np.bincount(own_place, train[own], len(own_keys)).astype(np.int64)
+        ow, (at, some) = own_keys & 0xFFFF, _lookup(state["h"], contexts)
+        own_count, own_all = np.zeros(len(contexts), np.int64), np.zeros((len(contexts), samples), np.int64)
+        own_count[some], own_all[some] = state["n"][at[some]], _context_tables(state, ups)[at[some]]
+        ou, own_kept = own_keys >> 16, np.searchsorted(state["ou"] << 16 | state["ow"], at[own_keys[oc > 1] >> 16] << 16 | ow[oc > 1])
+        own_probability = np.zeros(len(own_keys))
+        # Rare words; contexts without a code are numbered after the codes.
         names, name = np.unique(hashes, return_inverse=True)
-        rare_keys, rare_place = np.unique(name.astype(np.int64) << 16 | u[rare], return_inverse=True)
+        others, other = np.unique(before[rare[far]], return_inverse=True)
+        context = u[rare].astype(np.int64)
+        context[context == RARE] = CODES + other
+        rare_keys, rare_place = np.unique(name << 32 | context, return_inverse=True)
+        del hashes, before, context, other, u, w
         rc = np.bincount(rare_place, train[rare], len(rare_keys)).astype(np.int64)
-        rw, ru = rare_keys >> 16, rare_keys & 0xFFFF
-        known = np.searchsorted(state["h"], names) if state else np.zeros(len(names), np.int64)
-        some = np.zeros(len(names), bool)
-        if state and len(state["h"]):
-            some = state["h"][np.minimum(known, len(state["h"]) - 1)] == names
+        rw, ru = rare_keys >> 32, rare_keys & 0xFFFFFFFF
+        told = _records(answers, 1 + samples)
+        told = told[np.argsort(told["h"])]
+        at, some = _lookup(told["h"], others)
+        other_values = np.zeros((len(others), 1 + samples), np.int64)
+        other_values[some] = told["v"][at[some]]
+        rare_count = np.concatenate([context_count, other_values[:, 0]])[ru]
+        known, some = _lookup(state["h"], names)
         rare_n = np.zeros(len(names), np.int64)
-        rare_n[some] = state["n"][known[some]] if state else 0
+        rare_n[some] = state["n"][known[some]]
+        drawn = rc > 1
+        stored_u = ru[drawn]
+        stored_u[stored_u >= CODES] = CODES + np.searchsorted(state["others"], others[stored_u[stored_u >= CODES] - CODES])
+        rare_kept = np.searchsorted(state["rw"].astype(np.int64) << 32 | state["ru"], known[rw[drawn]] << 32 | stored_u)
         rare_probability = np.zeros(len(rare_keys))
         for k, g in enumerate(past):
             parent = g.parent(g.customers, g.tables0)
-            tables = np.minimum(c, 1)
-            rare_tables = np.minimum(rc, 1)
-            met, t0 = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-            if state:
-                t, rt, m, z = state["past"][k]
-                more = c > 1
-                tables[more] = t[kept[more]]
-                more = rc > 1
-                stored = state["rw"].astype(np.int64) << 16 | state["ru"]
-                rare_tables[more] = rt[np.searchsorted(stored, known[rw[more]] << 16 | ru[more])]
-                met[some], t0[some] = m[known[some]], z[known[some]]
+            tables, own_tables, rare_tables = np.minimum(c, 1), np.minimum(oc, 1), np.minimum(rc, 1)
+            rt, t0, ot, met = state["past"][k]
+            if core:
+                tables[c > 1] = core["past"][k][kept]
+            own_tables[oc > 1], rare_tables[drawn] = ot[own_kept], rt[rare_kept]
+            rare_met, rare_t0 = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            rare_met[some], rare_t0[some] = met[known[some]], t0[known[some]]
             probability += _pair_probability(c, tables, g.tables[ku], context_count[ku], parent[kw], g)
-            rare_probability += _pair_probability(rc, rare_tables, g.tables[ru], context_count[ru], g.parent(met, t0)[rw], g)
-        n = np.zeros(len(u), np.int64)
-        n[~rare], n[rare] = coded_n[kw][place], rare_n[name]
-        score = np.zeros(len(u))
-        score[~rare], score[rare] = np.log10(probability / len(past))[place], np.log10(rare_probability / len(past))[rare_place]
+            own_probability += _pair_probability(oc, own_tables, own_all[ou, k], own_count[ou], parent[ow], g)
+            rare_probability += _pair_probability(rc, rare_tables, np.concatenate([g.tables, other_values[:, 1 + k]])[ru], rare_count, g.parent(rare_met, rare_t0)[rw], g)
+        n, score = np.zeros(len(d), np.int64), np.zeros(len(d))
+        n[plain], n[own], n[rare] = coded_n[kw][place], coded_n[ow][own_place], rare_n[name]
+        for part, p, where in ((plain, probability, place), (own, own_probability, own_place), (rare, rare_probability, rare_place)):
+            score[part] = np.log10(p / samples)[where]
         base = _base(n, train_tokens, g.vocabulary)
         for first, start, end in zip(chunks, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
             doc, at = np.unique(d[start:end] >> np.uint32(1), return_inverse=True)
@@ -501,9 +733,10 @@ def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES,
     # Where most rows are held out, each shard's scoring is split further.
     splits = max(1, round(totals.get(1, 0) / (shards * shard_tokens)))
     known = spark.sparkContext.broadcast(frequent)
-    counted = texts.mapInArrow(_count_blocks(shards, known), "shard int, blob binary").groupBy("shard").applyInArrow(_count_shard, _STATE)
+    counted = texts.mapInArrow(_count_blocks(shards, known), "shard int, blob binary").groupBy("shard").applyInArrow(_count_shard(shards, shards * splits), _STATE)
     path = write_scratch(spark, counted, "seating")
     sums = _sums(spark.read.schema(_STATE).parquet(path))
+    asked = materialize(spark, spark.read.schema(_STATE).parquet(path).filter(F.col("code") == ASK).select("shard", "code", "a", "blob"), "asked")
     n1, s1, coded_n, context_count = (_array(sums, k) for k in range(4))
     rare_words, once, twice, rare_tokens = sums.get(-1, (0, 0, 0, 0))
     t, customers = n1 + _array(sums, 0, CODES), s1 + _array(sums, 1, CODES)
@@ -516,8 +749,10 @@ def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES,
     )
     kept, table0 = [], stirling(g.discount0)
     for number in range(burn_in + samples):
-        state = spark.read.schema(_STATE).parquet(path).filter("shard IS NOT NULL").select("shard", "blob")
-        after = write_scratch(spark, state.mapInArrow(_sweep(spark.sparkContext.broadcast(g), number, number >= burn_in), _STATE), "seating")
+        state = spark.read.schema(_STATE).parquet(path)
+        rows = _core(state).union(_rest(state).repartition("shard").sortWithinPartitions("shard"))
+        sweep = _sweep(spark.sparkContext.broadcast(g), number, number >= burn_in, number == burn_in + samples - 1, shards)
+        after = write_scratch(spark, rows.mapInArrow(sweep, _STATE), "seating")
         drop_scratch(spark, path)
         path = after
         sums = _sums(spark.read.schema(_STATE).parquet(path))
@@ -529,11 +764,14 @@ def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES,
         if number >= burn_in:
             kept.append(g)
     shipped = spark.sparkContext.broadcast((kept, coded_n, context_count, train_tokens))
-    state = spark.read.schema(_STATE).parquet(path).filter("shard IS NOT NULL").select("shard", "blob")
-    hot = spark.sparkContext.broadcast(_hot_pairs(state, kept, coded_n, context_count, train_tokens))
-    blocks = texts.mapInArrow(_score_blocks(shards * splits, known, hot), "shard int, blob binary")
-    state = state.select(F.explode(F.sequence(F.col("shard"), F.col("shard") + shards * (splits - 1), F.lit(shards))).alias("shard"), "blob") if splits > 1 else state
-    parts = blocks.union(state).groupBy("shard").applyInArrow(_score_shard(shipped), "chunk bigint, blob binary")
+    state = spark.read.schema(_STATE).parquet(path)
+    hot = spark.sparkContext.broadcast(_hot_pairs(_core(state), kept, coded_n, context_count, train_tokens))
+    more = texts.filter("held_out").mapInArrow(_ask(shards * splits, shards, known), "shard int, code int, a bigint, blob binary")
+    answers = asked.union(more).union(_rest(state)).groupBy("shard").applyInArrow(_answer, "shard int, code int, blob binary")
+    blocks = texts.mapInArrow(_score_blocks(shards * splits, known, hot), "shard int, code int, blob binary")
+    state = _core(state).union(_rest(state)).select("shard", "code", "blob")
+    state = state.select(F.explode(F.sequence(F.col("shard"), F.col("shard") + shards * (splits - 1), F.lit(shards))).alias("shard"), "code", "blob") if splits > 1 else state
+    parts = blocks.union(state).union(answers).groupBy("shard").applyInArrow(_score_shard(shipped), "chunk bigint, blob binary")
     whole = parts.groupBy("chunk").applyInArrow(_add_chunk, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     # Sums over blocks differ in their last bits with the blocks' order.
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), F.round("base_score", 8).alias("base_score"), F.round("score", 8).alias("score"))

@@ -12,7 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
-LINE_END = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: Java looks single characters below U+0100 up in a table; every range or character beyond costs calls for each character of
+#: a text, so that classes list their characters where they can.
+LINE_END = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85]"
+WIDE_LINE_END = LINE_END[:-1] + "\u2028\u2029]"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The characters of SPACE, for functions that take a set.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,7 +27,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def pstrip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def rstrip(x: Column) -> Column:
@@ -48,8 +54,9 @@ def words(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     """Lines by every line end that text files know; a last empty line is none."""
-    parts = F.split(F.regexp_replace(x, "\r\n", "\n"), LINE_END)
-    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+    unified = F.replace(x, F.lit("\r\n"), F.lit("\n"))
+    split = lambda u: F.split(u, F.when(u.contains("\u2028") | u.contains("\u2029"), WIDE_LINE_END).otherwise(LINE_END))
+    return let(let(unified, split), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def at(array: Column, i: Column) -> Column:

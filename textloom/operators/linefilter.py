@@ -7,16 +7,17 @@ columns: repeated rows, other columns and empty tables are as the caller's query
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import at, let, lines, pstrip, squeeze, words
+from textloom.functions.text import LETTERS, at, let, lines, pstrip, squeeze, words
 
-LATIN, CYRILLIC = "[A-Za-z]", "[А-Яа-яЁё]"
+LATIN, CYRILLIC = f"[{LETTERS}]", "[А-яЁё]"
 OPEN_TAG, CLOSE_TAG = r"(?U)^[\s\x1c-\x1f]*<([A-Z]+)([^>]*)>[\s\x1c-\x1f]*$", r"(?U)^[\s\x1c-\x1f]*</([A-Z]+)>[\s\x1c-\x1f]*$"
-#: Word characters of the script check, and the broken word form with its right spelling.
-WORD_CHARS = "[A-Za-zА-Яа-яЁё0-9_-]+"
+#: Neighbouring letters of two scripts within a word, and the broken word form with its right spelling.
+MIXED = f"{LATIN}[0123456789_-]*{CYRILLIC}|{CYRILLIC}[0123456789_-]*{LATIN}"
 BROKEN_FORM, RIGHT_FORM = "по-преж", "по-прежнему"
 
 
@@ -33,11 +34,11 @@ class FilterConfig:
 
 
 def is_open_tag(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(OPEN_TAG))
+    return line.contains("<") & F.regexp_like(line, F.lit(OPEN_TAG))
 
 
 def is_close_tag(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(CLOSE_TAG))
+    return line.contains("</") & F.regexp_like(line, F.lit(CLOSE_TAG))
 
 
 def is_tag_line(line: Column) -> Column:
@@ -48,10 +49,13 @@ def has_latin(line: Column) -> Column:
     return F.regexp_like(line, F.lit(LATIN))
 
 
+def is_ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.length(x)
+
+
 def has_mixed_word(line: Column) -> Column:
-    """A word with letters of both scripts."""
-    found = F.regexp_extract_all(line, F.lit(f"({WORD_CHARS})"), F.lit(1))
-    return F.exists(found, lambda w: F.regexp_like(w, F.lit(CYRILLIC)) & F.regexp_like(w, F.lit(LATIN)))
+    """A word with letters of both scripts: two letters, one of each, with nothing but other word characters between them."""
+    return ~is_ascii(line) & F.regexp_like(line, F.lit(CYRILLIC)) & F.regexp_like(line, F.lit(LATIN)) & F.regexp_like(line, F.lit(MIXED))
 
 
 def has_broken_form(line: Column) -> Column:
@@ -63,7 +67,7 @@ def cap_repeats(kept: Column, most: int, keep_tags: bool = True) -> Column:
     most = max(1, most)
 
     def stays(kept: Column) -> Column:
-        repeated = lambda x, i: F.forall(F.array(*[F.lit(k) for k in range(1, most + 1)]), lambda k: F.coalesce(at(kept, i - k) == x, F.lit(False)))
+        repeated = lambda x, i: reduce(lambda a, b: a & b, [F.coalesce(at(kept, i - k) == x, F.lit(False)) for k in range(1, most + 1)])
         return F.filter(kept, lambda x, i: (is_tag_line(x) if keep_tags else F.lit(False)) | ~repeated(x, i))
 
     return let(kept, stays)
@@ -76,7 +80,8 @@ def clean_lines(raw: Column, config: FilterConfig = FilterConfig()) -> Column:
         stripped = F.transform(stripped, squeeze)
 
     def passes(x: Column) -> Column:
-        good = ~has_broken_form(x) & (F.size(words(x)) >= config.min_words_per_line)
+        n_words = F.size(F.split(x, " ") if config.collapse_whitespace else words(x))
+        good = ~has_broken_form(x) & (n_words >= config.min_words_per_line)
         if config.drop_latin_lines:
             good = ~has_latin(x) & good
         elif config.drop_mixed_cyr_lat_words:  # no such word is left where lines with Latin letters go
@@ -88,27 +93,29 @@ def clean_lines(raw: Column, config: FilterConfig = FilterConfig()) -> Column:
 
 def extract_tagged_block(text: Column) -> Column:
     """struct<tag, open_line, close_line>: the first opening and the last closing tag line, empty strings where missing."""
+    return _tagged_block(lines(text))
+
 
-    def of(all_lines: Column) -> Column:
-        opens, closes = F.filter(all_lines, is_open_tag), F.filter(all_lines, is_close_tag)
-        first = F.coalesce(F.get(opens, F.lit(0)), F.lit(""))
-        return F.struct(
-            F.regexp_extract(first, OPEN_TAG, 1).alias("tag"), first.alias("open_line"), F.coalesce(F.try_element_at(closes, F.lit(-1)), F.lit("")).alias("close_line")
-        )
+def _tagged_block(all_lines: Column) -> Column:
+    def of(tags: Column) -> Column:
+        first = F.coalesce(F.get(F.filter(tags, is_open_tag), F.lit(0)), F.lit(""))
+        last = F.coalesce(F.try_element_at(F.filter(tags, is_close_tag), F.lit(-1)), F.lit(""))
+        return F.struct(F.regexp_extract(first, OPEN_TAG, 1).alias("tag"), first.alias("open_line"), last.alias("close_line"))
 
-    return let(F.transform(lines(text), pstrip), of)
+    return let(F.transform(F.filter(all_lines, lambda x: x.contains("<")), pstrip), of)
 
 
 def clean_section_text(text: Column, config: FilterConfig = FilterConfig()) -> Column:
     """Cleaned text; where the section had an opening tag, tags that are missing at the ends are put back."""
-    text = F.coalesce(text, F.lit(""))
 
-    def restored(cleaned: Column) -> Column:
+    def restored(raw: Column, cleaned: Column) -> Column:
         def with_tags(block: Column) -> Column:
             opened = F.when(F.coalesce(is_open_tag(F.get(cleaned, F.lit(0))), F.lit(False)), cleaned).otherwise(F.concat(F.array(block["open_line"]), cleaned))
             closed = let(opened, lambda o: F.when(F.coalesce(is_close_tag(F.try_element_at(o, F.lit(-1))), F.lit(False)), o).otherwise(F.concat(o, F.array(block["close_line"]))))
             return F.when(block["tag"] != "", closed).otherwise(cleaned)
 
-        return let(extract_tagged_block(text), with_tags)
+        return let(_tagged_block(raw), with_tags)
 
-    return pstrip(F.array_join(let(clean_lines(lines(text), config), restored), "\n"))
+    # The text may be an expression of any cost: it is split once for both.
+    kept = let(lines(F.coalesce(text, F.lit(""))), lambda raw: let(clean_lines(raw, config), lambda cleaned: restored(raw, cleaned)))
+    return pstrip(F.array_join(kept, "\n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.ranks import previous_key
-from textloom.functions.text import lines, pstrip, squeeze, uniform, words
+from textloom.functions.text import LETTERS, lines, pstrip, squeeze, uniform, words
 from textloom.operators import canonical, chat, generate, instruct, linefilter, scoring, sections
 from textloom.sources import html
 from textloom.tables import table
@@ -127,7 +127,7 @@ k AS (SELECT doc_id, pos, line FROM (SELECT *, row_number() OVER (PARTITION BY d
 SELECT doc_id, md5(rtrim(string_agg(line, chr(10) ORDER BY pos) || chr(10), chr(10))) AS digest FROM k GROUP BY doc_id""")
 def tagged_section_clean(spark, sf_dir):
     """Texts under an opening tag: it stays, and a closing tag that never was is not made up."""
-    text = F.concat(F.lit("<VERSE index=1 speaker=a>\n"), F.regexp_replace("text", r"[^a-zA-Z \n]", ""))
+    text = F.concat(F.lit("<VERSE index=1 speaker=a>\n"), F.regexp_replace("text", rf"[^{LETTERS} \n]+", ""))
     return documents(spark, sf_dir).select("doc_id", F.md5(linefilter.clean_section_text(text, LATIN_TEXTS)).alias("digest"))
 
 

@@ -49,7 +49,7 @@ def collapse(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    return F.filter(F.split(x, rf"(?U){SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(x, rf"(?U){SPACE}+"), F.lit(""))
 
 
 def lines(x: Column) -> Column:

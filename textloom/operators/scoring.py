@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let, lines, pstrip, runs, words
-from textloom.operators.linefilter import CYRILLIC, LATIN, is_tag_line
+from textloom.operators.linefilter import CYRILLIC, LATIN, is_tag_line, may_have_cyrillic
 
 N = 4
 #: Most n-grams, of 16 bytes each with their text's id, that are broadcast.
@@ -24,8 +24,9 @@ def content_lines(text: Column) -> Column:
 
 
 def letter_counts(text: Column) -> Column:
-    """struct<cyr, lat>"""
-    return F.struct(F.regexp_count(text, F.lit(CYRILLIC)).alias("cyr"), F.regexp_count(text, F.lit(LATIN)).alias("lat"))
+    """struct<cyr, lat>: what is left of the text without other characters, which go run by run."""
+    left = lambda letters: F.length(F.regexp_replace(text, f"[^{letters[1:-1]}]+", ""))
+    return F.struct(F.when(~may_have_cyrillic(text), 0).otherwise(left(CYRILLIC)).alias("cyr"), left(LATIN).alias("lat"))
 
 
 def ngrams(tokens: Column, n: int = N) -> Column:
@@ -42,9 +43,15 @@ def ngram_hashes(tokens: Column, n: int = N) -> Column:
 
 def line_frequencies(content: Column) -> Column:
     """struct<max_repeat, top3, n_distinct>: most frequent line, sum of the three highest frequencies, distinct lines."""
-    counts = F.sort_array(runs(F.array_sort(content)), asc=False)
     of = lambda c: F.struct(F.coalesce(F.get(c, F.lit(0)), F.lit(0)).alias("max_repeat"), F.aggregate(F.slice(c, 1, 3), F.lit(0), lambda a, x: a + x).alias("top3"), F.size(c).alias("n_distinct"))
-    return let(counts, of)
+    once = lambda n: F.struct(F.least(F.lit(1), n).alias("max_repeat"), F.least(F.lit(3), n).alias("top3"), n.alias("n_distinct"))
+
+    def counted(found: Column) -> Column:
+        # Lines of most texts differ: only the others are sorted.
+        repeated = let(F.sort_array(runs(F.sort_array(found)), asc=False), of)
+        return let(F.size(F.array_distinct(found)), lambda n: F.when(n == F.size(found), once(n)).otherwise(repeated))
+
+    return let(content, counted)
 
 
 def repetition(tokens: Column, n: int = N) -> Column:
@@ -78,6 +85,16 @@ def line_statistics(text: Column) -> Column:
     return let(_content(text), _statistics)
 
 
+def line_averages(text: Column) -> Column:
+    """struct<n_lines, avg_words, uniq_ratio>: these of line_statistics, without n-grams and letters."""
+
+    def of(content: Column) -> Column:
+        n, n_words, n_distinct = F.greatest(F.lit(1), F.size(content)), F.size(words(F.array_join(content, " "))), F.size(F.array_distinct(content))
+        return F.struct(F.size(content).alias("n_lines"), (n_words / n).alias("avg_words"), (n_distinct / n).alias("uniq_ratio"))
+
+    return let(content_lines(text), of)
+
+
 def score_section(text: Column) -> Column:
     """Fluency score of one section; NO_CONTENT where no content line is left."""
     return let(_content(text), _score)

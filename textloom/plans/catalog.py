@@ -151,6 +151,12 @@ sc AS (SELECT d.doc_id, d.source, CASE WHEN n_lines IS NULL THEN -1e9 ELSE 4.0 *
       - 2.0 * greatest(0.0, avg_words - 20) - CASE WHEN lat > 0 THEN 10.0 ELSE 0.0 END END AS score FROM documents d LEFT JOIN s USING (doc_id))"""
 
 
+def _where(docs: DataFrame, value: Column, test: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, v: the value of each document that passes the test. As a filter, the test would be moved below the value and
+    compute it once more."""
+    return docs.select("doc_id", F.explode(F.filter(F.array(value), test)).alias("v"))
+
+
 @query(f"WITH {SCORED} SELECT doc_id, round(score::DOUBLE, 6) AS score FROM sc")
 def section_score(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.round(scoring.score_section(F.col("text")), 6).alias("score"))
@@ -158,20 +164,20 @@ def section_score(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT doc_id, CAST(max_repeat AS INT) AS max_repeat, CAST(top3 AS INT) AS top3 FROM s")
 def line_frequency_top3(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", scoring.line_frequencies(scoring.content_lines(F.col("text"))).alias("f"))
-    return found.filter("f.n_distinct > 0").select("doc_id", "f.max_repeat", "f.top3")
+    found = _where(documents(spark, sf_dir), scoring.line_frequencies(scoring.content_lines(F.col("text"))), lambda f: f["n_distinct"] > 0)
+    return found.select("doc_id", "v.max_repeat", "v.top3")
 
 
 @query(f"WITH {SCORED} SELECT doc_id, round(repetition, 6) AS repetition FROM s")
 def ngram4_repetition(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", scoring.content_lines(F.col("text")).alias("c")).filter(F.size("c") > 0)
-    return found.select("doc_id", F.round(scoring.repetition(words(F.array_join("c", " "))), 6).alias("repetition"))
+    found = _where(documents(spark, sf_dir), scoring.content_lines(F.col("text")), lambda c: F.size(c) > 0)
+    return found.select("doc_id", F.round(scoring.repetition(words(F.array_join("v", " "))), 6).alias("repetition"))
 
 
 @query(f"WITH {SCORED} SELECT doc_id, round(avg_words, 6) AS avg_words, round(uniq_ratio, 6) AS uniq_ratio FROM s")
 def avg_words_uniq_ratio(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", scoring.line_statistics(F.col("text")).alias("s")).filter("s.n_lines > 0")
-    return found.select("doc_id", F.round("s.avg_words", 6).alias("avg_words"), F.round("s.uniq_ratio", 6).alias("uniq_ratio"))
+    found = _where(documents(spark, sf_dir), scoring.line_averages(F.col("text")), lambda s: s["n_lines"] > 0)
+    return found.select("doc_id", F.round("v.avg_words", 6).alias("avg_words"), F.round("v.uniq_ratio", 6).alias("uniq_ratio"))
 
 
 #: Line and 4-gram overlap of a document with the one before it in its source.

@@ -37,8 +37,9 @@ def ngrams(tokens: Column, n: int = N) -> Column:
 
 def ngram_hashes(tokens: Column, n: int = N) -> Column:
     """64-bit hashes of an array's n-grams: what counting and comparing them needs."""
-    of = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-    return let(tokens, lambda w: F.when(F.size(w) >= n, of(w)).otherwise(F.array().cast("array<bigint>")))
+    of = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+    # A word is hashed once, not once for each n-gram that it is in.
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, of(h)).otherwise(F.array().cast("array<bigint>")))
 
 
 def line_frequencies(content: Column) -> Column:
@@ -130,13 +131,15 @@ def ngram_overlap(text: Column, previous: Column, n: int = N) -> Column:
 def score_in_context(text: Column, previous: Column) -> Column:
     """score_section less penalties for lines and n-grams taken from the context; a blank context costs nothing."""
 
+    context = lambda content: F.struct(content.alias("lines"), ngram_hashes(words(F.array_join(content, " "))).alias("grams"))
+
     def of(now: Column) -> Column:
         def against(then: Column) -> Column:
             penalty = 8.0 * containment(now["lines"], then["lines"]) + 6.0 * containment(now["grams"], then["grams"])
             return let(_score(now), lambda s: s - F.when(s == NO_CONTENT, 0.0).otherwise(penalty))
 
         # A blank context has no lines and no n-grams, so that nothing is contained in it.
-        return let(_content(previous), against)
+        return let(let(content_lines(previous), context), against)
 
     return let(_content(text), of)
 
